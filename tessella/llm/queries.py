@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, sharding, warc
+from tessella.llm import decontam, mixing, secrets, sharding, tokens, warc
 from tessella.llm.common import read
 
 
 def queries() -> dict:
     return {
         "op1_sharding": lambda s, d: sharding.assign(read(s, d, "documents")),
+        "op2_decontamination": lambda s, d: decontam.contaminated(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op4_token_codes": lambda s, d: tokens.token_table(read(s, d, "documents")),
+        "op7_secrets": lambda s, d: secrets.find(read(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.mix(read(s, d, "documents")),
         "op10_warc": lambda s, d: warc.derive(read(s, d, "pages")),
     }
