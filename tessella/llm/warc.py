@@ -94,16 +94,16 @@ def derive(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", F.expr(_after()))
     headers, body = _record_sql(True)
     made = rows.select(
-        "page_id",
-        F.expr(_urn("response")).alias("refers_to"),
-        F.col("url").alias("target_uri"),
-        F.expr(headers).alias("source_headers"),
-        F.array(
-            F.struct(F.lit("metadata").alias("record_type"), F.expr(_urn("metadata")).alias("record_id"), F.lit("application/warc-fields").alias("content_type"), F.expr(body).alias("block")),
-            F.struct(F.lit("conversion").alias("record_type"), F.expr(_urn("conversion")).alias("record_id"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
-        ).alias("records"),
-    )
-    each = made.select("page_id", "refers_to", "target_uri", "source_headers", F.inline("records"))
+        "page_id", F.expr(_urn("response")).alias("refers_to"), F.col("url").alias("target_uri"), F.expr(headers).alias("source_headers"),
+        F.expr(_urn("metadata")).alias("meta_id"), F.expr(_urn("conversion")).alias("text_id"), F.expr(body).alias("meta"), "text",
+    )
+    # The kinds are literals: an array of computed records would be computed again, in the filter for empty arrays.
+    each = made.withColumn("record_type", F.explode(F.array(F.lit("metadata"), F.lit("conversion"))))
+    pick = lambda a, b: F.when(F.col("record_type") == "metadata", a).otherwise(b)
+    each = each.select(
+        "page_id", "record_type", pick(F.col("meta_id"), F.col("text_id")).alias("record_id"), "refers_to", "target_uri",
+        pick(F.lit("application/warc-fields"), F.lit("text/plain; charset=utf-8")).alias("content_type"), "source_headers", pick(F.col("meta"), F.col("text")).alias("block"),
+    )
     return each.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "source_headers", "block",
         F.concat(F.lit("sha256:"), F.sha2("block", 256)).alias("block_digest"), F.octet_length("block").cast("bigint").alias("content_length"),
