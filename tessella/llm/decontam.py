@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import col, ship
-from tessella.llm.words import blocks, words
+from tessella.llm.words import Lookup, blocks, words
 
 N = 3
 RARE = 0.5
@@ -40,25 +40,6 @@ CELLS = 1 << 18
 FOUND = "doc_id bigint, item_id bigint, score double, start_char bigint, end_char bigint"
 
 
-class Lookup:
-    """Which of many hashes are among given ones, and which."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = max(10, int(8 * len(self.keys) + 1).bit_length())
-        self.seen = np.zeros(1 << self.bits, np.bool_)
-        self.seen[self.keys >> np.uint64(64 - self.bits)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in hashes and in keys of the hits."""
-        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.bits)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
-        ok = self.keys[k] == hashes[at]
-        return at[ok], k[ok]
-
-
 def local_align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each item with its window: score, and the last word of it in item and window."""
     n = len(items)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontam, mixing, secrets, sharding, tokens, warc
+from tessella.llm import decontam, jaccard, mixing, secrets, sharding, tokens, warc
 from tessella.llm.common import read
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda s, d: sharding.assign(read(s, d, "documents")),
         "op2_decontamination": lambda s, d: decontam.contaminated(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op3_jaccard_join": lambda s, d: jaccard.similar(read(s, d, "documents")),
         "op4_token_codes": lambda s, d: tokens.token_table(read(s, d, "documents")),
         "op7_secrets": lambda s, d: secrets.find(read(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.mix(read(s, d, "documents")),
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle(), "op8_mixing": mixing.oracle(), "op10_warc": warc.oracle()}
+    return {"op1_sharding": sharding.oracle(), "op3_jaccard_join": jaccard.oracle(), "op8_mixing": mixing.oracle(), "op10_warc": warc.oracle()}
