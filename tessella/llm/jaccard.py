@@ -4,10 +4,13 @@ A document is the set of its word n-grams. Texts with equal sets form a class, a
 
 1. One pass gives each document's class and counts n-grams that repeat within large runs of documents; the sums tell
    the heavy n-grams. Any choice of those is right: it only sets the order of n-grams (others by hash, then the heavy
-   ones by count). What is broadcast is at most HEAVY_LIMIT of them.
+   ones by count). What is broadcast is at most HEAVY_LIMIT of them. The pass also gives each set some bands of least
+   hashes; sets with an equal band are kin. Kinship is never an answer, it only says that two sets will meet in step 3
+   anyhow; groups of copies so cost what they are, not their square, in step 2.
 2. In that order each set sends its prefix to the lists of its n-grams. Two sets of Jaccard t or more meet in one.
-   Lists give pairs of compatible sizes with the number of n-grams they share there; a pair goes on if those and the
-   rest beyond the prefixes could suffice. What passes is nearly all true, and is reduced to connected components.
+   Lists give pairs of compatible sizes that aren't kin with the number of n-grams they share there; a pair goes on if
+   those and the rest beyond the prefixes could suffice. What passes joins the kin in connected components. Lists tell
+   n-grams by 32 bits; two that fall together can only add a pair.
 3. The whole sets of a component meet in one task (an oversized one is cut into a grid of tasks), where an exact join
    skips by set relations (see setjoin): lists in position blocks, and answers derived from those of a similar set.
 
@@ -41,11 +44,15 @@ from tessella.llm.words import Lookup, blocks, mix64, words
 N = 4
 THRESHOLD = 0.6
 #: An n-gram counts as heavy from this count on, in runs of so many n-grams; so many of them are broadcast at most.
-HEAVY, RUN, HEAVY_LIMIT = 32, 1 << 22, 1 << 21
+HEAVY, RUN, HEAVY_LIMIT = 32, 1 << 21, 1 << 21
 #: N-grams of the sets that one task joins, about.
 TASK_GRAMS = 1 << 23
 #: Pairs of a list that are made at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
+#: Bands of a set, and least hashes in each; kin that are broadcast at most, larger groups first.
+BANDS, BAND, KIN_LIMIT = 4, 4, 1 << 22
+#: Buckets of lists at least; documents whose lists are made up at once.
+BUCKETS, SLICE = 64, 4096
 #: Up to this size a component's pairs are taken one by one.
 FEW = 6
 BLOOM_BITS = 26
@@ -71,13 +78,25 @@ def set_key(s: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def bands(s: np.ndarray) -> list[int | None]:
+    """Hashes of the bands of a sorted set: its n-grams are dealt into BANDS * BAND bins, of which each gives its least."""
+    least_of = np.zeros(BANDS * BAND, _U)
+    bins, at = np.unique(s % _U(BANDS * BAND), return_index=True)
+    least_of[bins.astype(np.int64)] = s[at]
+    with np.errstate(over="ignore"):
+        h = mix64(least_of + np.arange(1, BANDS * BAND + 1, dtype=_U)).reshape(BANDS, BAND)
+        h = mix64(h.sum(axis=1, dtype=_U)).view(np.int64)
+    full = least_of.reshape(BANDS, BAND).all(axis=1)
+    return [int(x) if ok else None for x, ok in zip(h, full, strict=True)]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in arrays)
 
 
 def _survey(n: int, buckets: int):
     """Of (doc_id, text_hash, text): rows with class and size; rows with a bucket's repeated n-grams and counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64())), ("bucket", pa.int32()), ("grams", pa.binary())])
 
     def repeats(held: list[np.ndarray]) -> pa.RecordBatch | None:
         g = np.concatenate(held)
@@ -93,14 +112,14 @@ def _survey(n: int, buckets: int):
         blobs = [_pack(np.uint32(len(x)), x, y) for x, y in zip(np.split(g, cuts), np.split(count, cuts), strict=True)] if len(g) else []
         none = pa.nulls(len(blobs), pa.int64())
         names = bucket[np.concatenate([[0], cuts])] if len(g) else bucket
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(blobs), pa.int32()), pa.array(names), pa.array(blobs, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(blobs), pa.int32()), pa.nulls(len(blobs), pa.list_(pa.int64())), pa.array(names), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many, seen = [], 0, set()
         for batch in batches:
-            keys, sizes = [None] * len(batch), [0] * len(batch)
+            keys, sizes, kin = [None] * len(batch), [0] * len(batch), [None] * len(batch)
             for k, s in sets(batch.column(2).to_pylist(), n):
-                keys[k], sizes[k] = set_key(s), len(s)
+                keys[k], sizes[k], kin[k] = set_key(s), len(s), bands(s)
                 if keys[k] not in seen:
                     seen.add(keys[k])
                     held.append(s)
@@ -109,7 +128,7 @@ def _survey(n: int, buckets: int):
                     yield repeats(held)
                     held, many, seen = [], 0, set()
             nulls = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), nulls, pa.nulls(len(batch), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(kin, pa.list_(pa.int64())), nulls, pa.nulls(len(batch), pa.binary())], schema=schema)
         if held:
             yield repeats(held)
 
@@ -146,6 +165,27 @@ def _heavy(found: DataFrame) -> np.ndarray:
     return g[np.lexsort((g, c))]
 
 
+def _kin(found: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(node, root) of classes that are kin, and the larger groups as sorted classes and the number of each one's group."""
+    by = found.filter("class is not null").select("class", F.explode("bands").alias("band")).filter("band is not null").distinct()
+    edges = by.groupBy("band").agg(F.min("class").alias("b"), F.collect_set("class").alias("all")).filter("size(all) > 1").select(F.explode("all").alias("a"), "b")
+    related = cut(components(edges.filter("a != b")))
+    sizes = related.groupBy("root").agg(F.count("*").alias("n"))
+    by_power = sorted(((r.p, r.n) for r in sizes.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.sum("n").alias("n")).collect()), reverse=True)
+    total, border = 0, None
+    for p, n in by_power:
+        if total + n > KIN_LIMIT:
+            break
+        total, border = total + n, 2**p
+    known = group = np.zeros(0, np.int64)
+    if border is not None:
+        t = related.join(sizes.filter(F.col("n") >= border), "root").select("node", "root").toArrow()
+        known, group = t.column("node").to_numpy(), np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        order = np.argsort(known)
+        known, group = known[order], group[order]
+    return related, found.sparkSession.sparkContext.broadcast((known, group))
+
+
 class Order:
     """The global order of n-grams."""
 
@@ -167,9 +207,9 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
     """Of (text): for each bucket the classes, sizes and prefix tokens that fall into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in (b.column(0).slice(a, SLICE) for b in batches for a in range(0, len(b), SLICE)):
             tokens, keys, sizes, many, seen = [], [], [], [], set()
-            for _, s in sets(batch.column(0).to_pylist(), n):
+            for _, s in sets(texts.to_pylist(), n):
                 key = set_key(s)
                 if key not in seen:
                     seen.add(key)
@@ -181,7 +221,9 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
                 continue
             token, owner = np.concatenate(tokens), np.repeat(np.arange(len(keys), dtype=np.int32), many)
             key, size = np.array(keys, np.int64), np.array(sizes, np.uint32)
-            bucket = (mix64(token) % _U(buckets)).astype(np.int32)
+            token = mix64(token)
+            bucket = ((token >> _U(32)) % _U(buckets)).astype(np.int32)
+            token = token.astype(np.uint32)
             by = np.argsort(bucket, kind="stable")
             token, owner, bucket = token[by], owner[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -189,8 +231,12 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
             for t, o in zip(np.split(token, cuts), np.split(owner, cuts), strict=True):
                 begin = np.flatnonzero(np.diff(o, prepend=-1))
                 own = o[begin]
-                length = np.diff(np.append(begin, len(o))).astype(np.uint32)
-                blobs.append(_pack(np.uint32(len(own)), key[own], size[own], length, t))
+                length = np.diff(np.append(begin, len(o)))
+                # One byte a length: a longer one is told in parts.
+                parts = (length - 1) // 255 + 1
+                own = np.repeat(own, parts)
+                length = np.where(np.arange(len(own)) + 1 == np.repeat(np.cumsum(parts), parts), np.repeat((length - 1) % 255 + 1, parts), 255)
+                blobs.append(_pack(np.uint32(len(own)), key[own], size[own], length.astype(np.uint8), t))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])]), pa.array(blobs, pa.binary())], ["bucket", "lists"])
 
     return run
@@ -202,10 +248,10 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for raw in table.column("lists"):
         raw = raw.as_py()
         m = int(np.frombuffer(raw, np.uint32, 1)[0])
-        length = np.frombuffer(raw, np.uint32, m, 4 + 12 * m)
+        length = np.frombuffer(raw, np.uint8, m, 4 + 12 * m)
         key.append(np.repeat(np.frombuffer(raw, np.int64, m, 4), length))
         size.append(np.repeat(np.frombuffer(raw, np.uint32, m, 4 + 8 * m), length))
-        token.append(np.frombuffer(raw, _U, int(length.sum()), 4 + 16 * m))
+        token.append(np.frombuffer(raw, np.uint32, int(length.sum(dtype=np.int64)), 4 + 13 * m))
     token, key, size = np.concatenate(token), np.concatenate(key), np.concatenate(size)
     by = np.argsort(token)
     token, key, size = token[by], key[by], size[by]
@@ -216,10 +262,10 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token, key, size = token[by], key[by], size[by]
     new = np.ones(len(token), np.bool_)
     new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    return token[new], key[new], size[new].astype(np.int64)
+    return token[new].astype(np.int64), key[new], size[new].astype(np.int64)
 
 
-def _meet(threshold: float, buckets: int):
+def _meet(kin: Broadcast, threshold: float, buckets: int):
     """Of a bucket's lists: pairs of classes of compatible sizes and how many tokens they share there, by bucket of pairs."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -228,7 +274,12 @@ def _meet(threshold: float, buckets: int):
         k = len(classes)
         size_of = np.zeros(k, np.int64)
         size_of[local] = size
-        begin = np.flatnonzero(np.diff(token, prepend=token[:1] ^ _U(1))) if len(token) else np.zeros(0, np.int64)
+        root = np.arange(k)
+        known, group = kin.value
+        if len(known) and k:
+            at = np.minimum(np.searchsorted(known, classes), len(known) - 1)
+            root = np.where(known[at] == classes, k + group[at], root)
+        begin = np.flatnonzero(np.diff(token, prepend=token[:1] ^ 1)) if len(token) else np.zeros(0, np.int64)
         # In a list the sets go by size: an entry's partners are the ones before it from the least size it admits on.
         run_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
         scale = int(size.max()) + 2 if len(size) else 2
@@ -242,6 +293,8 @@ def _meet(threshold: float, buckets: int):
             y = np.repeat(np.arange(a, b), m)
             x = np.repeat(low[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
             p, q = local[x], local[y]
+            other = root[p] != root[q]
+            p, q = p[other], q[other]
             pair, c = np.unique(np.minimum(p, q) * k + np.maximum(p, q), return_counts=True)
             found.append(pair)
             counts.append(c)
@@ -350,17 +403,18 @@ def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tu
         raise ValueError("the threshold is in (0, 1], n at least 1")
     spark = docs.sparkSession
     ship(spark)
-    buckets = partitions(spark)
+    buckets = max(BUCKETS, partitions(spark))
     rows = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text_hash", "text")
-    found = cut(rows.mapInArrow(_survey(n, buckets), "doc_id bigint, text_hash bigint, class bigint, size int, bucket int, grams binary"))
+    found = cut(rows.mapInArrow(_survey(n, buckets), "doc_id bigint, text_hash bigint, class bigint, size int, bands array<bigint>, bucket int, grams binary"))
     of = found.filter("bucket is null").select("doc_id", "text_hash", "class", "size")
     order = spark.sparkContext.broadcast(Order(_heavy(found)))
 
     lists = rows.select("text").mapInArrow(_prefixes(order, n, threshold, buckets), "bucket int, lists binary")
-    pairs = lists.groupBy("bucket").applyInArrow(_meet(threshold, buckets), "bucket int, pairs binary")
+    related, kin = _kin(found)
+    pairs = lists.groupBy("bucket").applyInArrow(_meet(kin, threshold, buckets), "bucket int, pairs binary")
     edges = pairs.groupBy("bucket").applyInArrow(_sift(threshold), "a bigint, b bigint")
-    parts = cut(components(edges))
+    parts = cut(components(edges.union(related.select("node", "root"))))
 
     classes = of.filter("class is not null").groupBy("class").agg(F.min("text_hash").alias("text_hash"), F.max("size").alias("size"))
     placed = cut(parts.join(classes, parts.node == classes["class"]).select("class", "root", "size", "text_hash"))
