@@ -26,6 +26,8 @@ def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], order: str |
     A map `metadata` is merged, new entries first; `created` keeps its least value. Columns of either side stay."""
     both = new.withColumn("_seq", F.lit(1)) if old is None else old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (*keys, "_seq")]
+    if not rest:
+        return both.select(*keys).distinct()
     maps = {c for c, t in both.dtypes if t.startswith("map")}
     tie = [order] if order else [c for c in rest if c not in maps]
     at = F.struct("_seq", *tie)
