@@ -44,11 +44,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of edges (a, b), BIGINT; the root is the component's least node.
 
     Large-star and small-star steps in turn until nothing changes; their number grows with the logarithm of the
-    nodes. Each step is written to a checkpoint. Without edges the result is empty; loops and repeats are harmless.
+    nodes. Each step is written to a checkpoint. Without edges the result is empty; loops and repeats are harmless, but a
+    node that has loops only isn't in it.
     """
     ship(edges.sparkSession)
-    edges = cut(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a is not null and b is not null").mapInArrow(_contract, "a bigint, b bigint"))
-    nodes = edges
+    edges = cut(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a is not null and b is not null and a != b"))
+    # Contracted in a stage of its own: edges that come from Python would hold two workers a core at once.
+    edges = cut(edges.mapInArrow(_contract, "a bigint, b bigint"))
     by = Window.partitionBy("u")
     before = None
     while True:
@@ -62,5 +64,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     found = edges.selectExpr("a as node", "b as root")
-    del nodes
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
