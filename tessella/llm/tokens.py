@@ -71,6 +71,7 @@ class Codes:
         return self.n
 
     def __getitem__(self, i: int) -> int:
+        i = int(i)
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
