@@ -12,6 +12,7 @@ from tessella.functions.text import entity_text, token_count
 from tessella.models import embed
 from tessella.operators import assembly, chunking, communities, context, extraction, mapreduce, resolve, search, traverse
 from tessella.sources import readers
+from tessella.sources.lineage import cut
 from tessella.sources.store import GraphStore
 
 
@@ -58,7 +59,7 @@ class Engine:
 
     def ingest(self, docs: DataFrame, chunks: DataFrame, gleanings: int = 0, with_claims: bool = False) -> dict[str, int]:
         g = F.lit(self.graph)
-        asked = communities.cut(extraction.extract(chunks, self.schema, self.chat, gleanings))  # models aren't asked twice
+        asked = cut(extraction.extract(chunks, self.schema, self.chat, gleanings))  # models aren't asked twice
         extraction.check_errors(asked)
         nodes = extraction.valid_nodes(asked, self.schema.labels(self.spark))
         place = asked.select("chunk_id", "document_id", F.col("index").alias("chunk_index"))
@@ -101,7 +102,7 @@ class Engine:
         if not dry_run and r.stats["merged_groups"]:
             none = self.spark.createDataFrame([], "graph_name string, id string, entity_id string, chunk_id string, claim_type string, description string, status string")
             old = {"entities": e, "relationships": self._own("relationships"), "evidence": self._own("evidence"), "claims": self._claims() if self._claims() is not None else none}
-            for name, new in resolve.merge(old["entities"], old["relationships"], old["evidence"], old["claims"], communities.cut(r.mapping)).items():
+            for name, new in resolve.merge(old["entities"], old["relationships"], old["evidence"], old["claims"], cut(r.mapping)).items():
                 if self.store.exists(name):
                     others = self.store.table(name).filter(F.col("graph_name") != self.graph)
                     self.store.replace(name, others.unionByName(new, allowMissingColumns=True))
@@ -110,13 +111,13 @@ class Engine:
     def embed_entities(self) -> int:
         """Embeds the entities that have no vector; the number that failed."""
         todo = self.store.unembedded(self.graph)
-        made = communities.cut(embed(todo.select("graph_name", "id", entity_text(F.col("type"), F.col("name"), F.col("description")).alias("t")), F.col("t"), self.embedder))
+        made = cut(embed(todo.select("graph_name", "id", entity_text(F.col("type"), F.col("name"), F.col("description")).alias("t")), F.col("t"), self.embedder))
         self.store.upsert_vectors(made.filter("embedding is not null"))
         return made.filter("embed_error is not null").count()
 
     def detect(self, types: list[str] | None = None, max_levels: int = 3, gamma: float = 1.0, seed: int = 42) -> DataFrame:
         """Builds the community tables anew."""
-        m = communities.cut(communities.detect(communities.project(self._own("relationships"), types), max_levels, gamma, seed=seed))
+        m = cut(communities.detect(communities.project(self._own("relationships"), types), max_levels, gamma, seed=seed))
         c, p = communities.tables(m)
         self.store.delete_communities(self.graph)
         none = F.lit(None).cast("string")
@@ -129,7 +130,7 @@ class Engine:
         e, r, m, claims = self._own("entities"), self._own("relationships"), self._own("memberships"), self._claims()
         edges, lone = traverse.ranked_edges(m, e, r, claims), traverse.isolated(m, r)
         own = None if claims is None else m.join(claims.select("entity_id", "id", "claim_type", "description"), "entity_id").select("community_id", "level", "id", "claim_type", "description").distinct()
-        texts = communities.cut(context.render(edges, lone, e, own).join(context.reference_ids(edges, lone, own), ["community_id", "level"]).withColumn("input_fingerprint", F.sha2("text", 256)))
+        texts = cut(context.render(edges, lone, e, own).join(context.reference_ids(edges, lone, own), ["community_id", "level"]).withColumn("input_fingerprint", F.sha2("text", 256)))
         bad = 0
         for level in range((self._own("communities").agg(F.max("level")).first()[0] or 0) + 1):
             old = self._own("communities").filter(F.col("level") == level)
@@ -139,7 +140,7 @@ class Engine:
                 todo = todo.join(done, ["community_id", "input_fingerprint"], "left_anti")
             asked = extraction.call(todo, context.report_prompt(F.col("community_id"), F.col("level"), F.col("text"), F.col("ids")), self.chat)
             rep = asked.withColumn("rep", context.parse_report(F.col("content"), F.col("ids"), F.col("community_id"), F.col("level")))
-            made = communities.cut(rep.select(F.lit(self.graph).alias("graph_name"), "level", F.col("community_id").alias("id"), context.report_text(F.col("rep")).alias("report_text"), context.report_json("rep").alias("report_json"), F.when(F.col("rep").isNull(), "failed").otherwise("success").alias("report_status"), "input_fingerprint"))
+            made = cut(rep.select(F.lit(self.graph).alias("graph_name"), "level", F.col("community_id").alias("id"), context.report_text(F.col("rep")).alias("report_text"), context.report_json("rep").alias("report_json"), F.when(F.col("rep").isNull(), "failed").otherwise("success").alias("report_status"), "input_fingerprint"))
             made = made.withColumn("report_text", F.when(F.col("report_status") == "success", F.col("report_text"))).withColumn("summary", F.col("report_text"))
             bad += made.filter("report_status = 'failed'").count()
             self.store.write({"communities": made})
@@ -160,7 +161,7 @@ class Engine:
         return search.hybrid(vector, keyword, k, ranker, alpha).select("id", "score")
 
     def _local(self, query: str, k: int, drift: bool, **options) -> tuple[DataFrame, list, str, list[dict]]:
-        found = communities.cut(self.matches(query, k, **options))
+        found = cut(self.matches(query, k, **options))
         args = (found, self._own("entities"), self._own("relationships"), self._own("evidence"), self._own("chunks"))
         x = traverse.drift_context(*args, self._own("memberships"), self._own("communities"), self._claims()) if drift else traverse.local_context(*args, self._claims())
         rows = x.orderBy(F.desc("score"), "id").collect()
@@ -197,8 +198,8 @@ class Engine:
         reports = reports.join(self.spark.createDataFrame(list(order.items()), "id string, place int"), "id")
         spare = budget - -(-len(mapreduce.MAP_PROMPT.format(query=query, text="")) // 4)
         made = mapreduce.batches(reports, spare if spare > 0 else 1000, "place")
-        partials = communities.cut(mapreduce.map_phase(made, query, self.chat, concurrency))
-        good = communities.cut(mapreduce.scored(partials, most))
+        partials = cut(mapreduce.map_phase(made, query, self.chat, concurrency))
+        good = cut(mapreduce.scored(partials, most))
         if not good.count():
             return Answer(query, "global", "No report helps with this question.", "", [], {"batches": partials.count()})
         used = mapreduce.used_reports(good)

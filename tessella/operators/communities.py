@@ -10,27 +10,18 @@ Entities without edges are in no community. Loops and edges with a null end are
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.lineage import cut
+
 LOCAL_EDGES = 2_000_000
 ROUNDS = 24
 PATHS = "graph_name string, entity_id string, level int, community_id string"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder (spark.checkpoint.dir), or in one of our own if that is unset."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint(eager=True)
-
-
 def project(relationships: DataFrame, types: list[str] | None = None, weight: str | None = "weight") -> DataFrame:
     """Undirected edges (graph_name, a, b, w), a < b, parallel ones added up; an error where nothing is left."""
     have = {r["type"] for r in relationships.select("type").distinct().collect()}

@@ -9,10 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import indel_ratio, normalize_name
+from tessella.operators.extraction import call, unfenced
+from tessella.operators.search import dot
+from tessella.sources.lineage import cut
 
 STRATEGIES = ("exact", "normalized", "fuzzy", "hybrid")
 KEY = ["graph_name", "type"]
@@ -181,6 +184,52 @@ def combined(entities: DataFrame, mapped: DataFrame, property: str) -> DataFrame
     return x.groupBy("canonical_id").agg(F.array_sort(F.collect_set("v")).alias("values"))
 
 
+def name_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b) with `embedding`, the cosine of their vectors (id, embedding) to 4 places; null without one."""
+    v = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
+    x = pairs.join(v.select(F.col("id").alias("id_a"), F.col("v").alias("_a")), "id_a", "left").join(v.select(F.col("id").alias("id_b"), F.col("v").alias("_b")), "id_b", "left")
+    norm = F.sqrt(dot(F.col("_a"), F.col("_a")) * dot(F.col("_b"), F.col("_b")))
+    return x.withColumn("embedding", F.when(norm > 0, F.round(dot(F.col("_a"), F.col("_b")) / norm, 4))).drop("_a", "_b")
+
+
+def review_prompt(a: Column, b: Column, guidance: str = "") -> Column:
+    head = "Are these two entities the same? Answer as JSON with same_entity, merge_allowed, confidence (0 to 1) and reason." + (f"\n{guidance}" if guidance else "")
+    return F.concat(F.lit(head + "\n\nA: "), a, F.lit("\nB: "), b)
+
+
+def review(pairs: DataFrame, entities: DataFrame, chat, guidance: str = "", properties: list[str] | None = None) -> DataFrame:
+    """Pairs (graph_name, type, id_a, id_b) with a model's same_entity, merge_allowed, confidence, reason and error. It is
+    shown type, name and the given properties, the description by default; an answer that isn't JSON has nulls."""
+    shown = [c for c in (properties or ["description"]) if c in entities.columns]
+    profile = F.concat_ws("; ", "type", "name", *[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in shown])
+    e = entities.select("graph_name", "id", profile.alias("p"))
+    x = pairs.join(e.select("graph_name", F.col("id").alias("id_a"), F.col("p").alias("_a")), ["graph_name", "id_a"]).join(e.select("graph_name", F.col("id").alias("id_b"), F.col("p").alias("_b")), ["graph_name", "id_b"])
+    asked = call(x, review_prompt(F.col("_a"), F.col("_b"), guidance), chat, "_c")
+    body = F.regexp_extract(unfenced(F.col("_c")), r"(?s)(\{.*\})", 1)
+    got = F.from_json(body, "same_entity boolean, merge_allowed boolean, confidence double, reason string")
+    return asked.withColumn("_r", got).select(*pairs.columns, "_r.same_entity", "_r.merge_allowed", "_r.confidence", "_r.reason", "error")
+
+
+def promote(reviewed: DataFrame, taken: DataFrame, merge_threshold: float = 95.0) -> DataFrame:
+    """Pairs that a review found to be one, sure enough, of which neither is taken (id); of several that share an entity
+    the first by ids. Greedy in order, a task for each graph and type; reviews are few."""
+    good = reviewed.filter("same_entity and merge_allowed and id_a != id_b").filter(F.col("confidence") >= merge_threshold / 100)
+    for side in ("id_a", "id_b"):
+        good = good.join(taken.select(F.col("id").alias(side)).distinct(), side, "left_anti")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        keep = []
+        pdf = pdf.sort_values(["id_a", "id_b"])
+        for a, b in zip(pdf["id_a"], pdf["id_b"], strict=True):
+            keep.append(a not in used and b not in used)
+            if keep[-1]:
+                used |= {a, b}
+        return pdf[keep][[*KEY, "id_a", "id_b"]]
+
+    return good.select(*KEY, "id_a", "id_b").groupBy(*KEY).applyInPandas(walk, "graph_name string, type string, id_a string, id_b string")
+
+
 @dataclass
 class Resolution:
     mapping: DataFrame
@@ -188,26 +237,32 @@ class Resolution:
     stats: dict = field(default_factory=dict)
 
 
-def resolve(entities: DataFrame, strategy: str = "normalized", merge_threshold: float = 95.0, review_threshold: float = 85.0, max_candidates: int = 20, aliases: DataFrame | None = None, rules: dict[str, list[str]] | None = None, unicode: bool = False) -> Resolution:
-    """Groups by a strategy; hybrid also takes aliases. Blocked groups and near names go to review.
+def resolve(entities: DataFrame, strategy: str = "normalized", merge_threshold: float = 95.0, review_threshold: float = 85.0, max_candidates: int = 20, aliases: DataFrame | None = None, rules: dict[str, list[str]] | None = None, unicode: bool = False, chat=None, guidance: str = "", properties: list[str] | None = None, auto_merge: bool = False) -> Resolution:
+    """Groups by a strategy; hybrid also takes aliases, and a chat model's view of near names, which merges them if
+    auto_merge allows it. Blocked groups and near names go to review.
 
     An entity that is in a group of equal names is in no other pair, so groups are disjoint."""
     if strategy not in STRATEGIES:
         raise ValueError(f"the strategy is one of {', '.join(STRATEGIES)}")
     found = groups(entities, strategy != "exact", unicode)
-    review = None
+    review_ = None
     if strategy in ("fuzzy", "hybrid"):
         pairs = fuzzy(entities, merge_threshold, review_threshold, max_candidates, unicode)
         as_group = lambda p: p.select(*KEY, F.concat_ws("|", "id_a", "id_b").alias("key"), F.array_sort(F.array("id_a", "id_b")).alias("ids"))
-        review = as_group(pairs.filter("decision = 'review'"))
+        review_ = as_group(pairs.filter("decision = 'review'"))
         found = found.unionByName(as_group(pairs.filter("decision = 'merge'")))
         if strategy == "hybrid" and aliases is not None:
             taken = found.select(F.explode("ids").alias("id"))
             rest = entities.join(taken, "id", "left_anti")
             found = found.unionByName(as_group(alias_pairs(rest, aliases, unicode)))
+        if strategy == "hybrid" and chat is not None and auto_merge:
+            asked = review(pairs.filter("decision = 'review'").select(*KEY, "id_a", "id_b"), entities, chat, guidance, properties)
+            promoted = cut(as_group(promote(asked, found.select(F.explode("ids").alias("id")), merge_threshold)))  # a model isn't asked twice
+            review_ = review_.join(promoted.select(*KEY, "key"), [*KEY, "key"], "left_anti")
+            found = found.unionByName(promoted)
     judged = conflicts(found, entities, rules or {})
     blocked = judged.filter("decision = 'blocked'").drop("decision")
-    review = blocked.withColumn("reason", F.lit("conflict")) if review is None else review.withColumn("reason", F.lit("fuzzy_candidate")).unionByName(blocked.withColumn("reason", F.lit("conflict")))
+    review_ = blocked.withColumn("reason", F.lit("conflict")) if review_ is None else review_.withColumn("reason", F.lit("fuzzy_candidate")).unionByName(blocked.withColumn("reason", F.lit("conflict")))
     good = judged.filter("decision = 'merge'").drop("decision")
     n = good.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("nodes")).first()
-    return Resolution(mapping(good, entities), review, {"strategy": strategy, "merged_groups": n["groups"], "merged_nodes": n["nodes"], "review_groups": review.count()})
+    return Resolution(mapping(good, entities), review_, {"strategy": strategy, "merged_groups": n["groups"], "merged_nodes": n["nodes"], "review_groups": review_.count()})

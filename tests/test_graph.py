@@ -49,6 +49,18 @@ def test_conflicts_block(spark):
     assert got == {"A": "merge", "B": "blocked"}
 
 
+def test_a_model_reviews_near_names(spark):
+    e = ents(spark, ["John Smith", "Jon Smith", "Jane Doe"], "Person")
+    said = Scripted(lambda p: 'Sure: {"same_entity": true, "merge_allowed": true, "confidence": 0.97}' if "John Smith" in p else "no")
+    assert resolve.resolve(e, "hybrid").stats["merged_groups"] == 0
+    r = resolve.resolve(e, "hybrid", chat=said, auto_merge=True)
+    assert r.stats["merged_groups"] == 1 and r.stats["review_groups"] == 0
+    assert {x.old_id: x.canonical_id for x in r.mapping.collect()} == {"e0": "e0", "e1": "e0"}
+    pairs = spark.createDataFrame([("e0", "e1"), ("e0", "e2")], "id_a string, id_b string")
+    v = spark.createDataFrame([("e0", [1.0, 0.0]), ("e1", [1.0, 1.0])], "id string, embedding array<double>")
+    assert {x.id_b: x.embedding for x in resolve.name_similarity(pairs, v).collect()} == {"e1": 0.7071, "e2": None}
+
+
 def test_merge_moves_edges(spark):
     e = ents(spark, ["Acme Inc", "Acme", "Bob"])
     rel = spark.createDataFrame([("g", "e2", "e0", "W", 1.0, "x"), ("g", "e2", "e1", "W", 2.0, "y"), ("g", "e0", "e1", "S", 1.0, ""), ("g", "e2", "e2", "L", 1.0, "")], "graph_name string, source_id string, target_id string, type string, weight double, description string")
