@@ -212,13 +212,15 @@ def _decided(docs: DataFrame, model: TextModel, id: str, text: str, address: str
         by_suffix = F.when(F.col("suffix").isNotNull(), F.log((at("s", i) + 1) / (of_suffix[i] + n_suffixes - mine[i]))).otherwise(0.0)
         by_declared = F.when(F.col("declared").isNotNull(), F.log((at("m", i) + 1) / (of_declared[i] + n_declared - mine[i]))).otherwise(0.0)
         scores.append(F.col(f"ll_{i}") + F.log(prior) + by_suffix + by_declared)
-    posterior = _normal(scores)
-    rows = rows.withColumn("top", F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(posterior)])))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    # Scores become columns of a written table: planned in one piece, each would be repeated in every expression over it.
+    scored = cut(rows.select("id", "key", "letters", *[x.alias(f"s_{i}") for i, x in enumerate(scores)]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"s_{i}").alias("s"), F.lit(-i).alias("i")) for i in each]))
     some = F.col("letters") > 0
-    rows = rows.withColumn("language", F.when(some, F.element_at(names, 1 - F.col("top.i"))).otherwise(UND))
-    rows = rows.withColumn("probability", F.when(some, F.col("top.p")).otherwise(0.0))
-    return rows.withColumn("accepted", (F.col("language") != UND) & (F.col("probability") >= ACCEPT)).select("id", "key", "language", "probability", "accepted")
+    top = scored.withColumn("top", best).withColumn("p", 1 / sum((F.exp(F.col(f"s_{i}") - F.col("top.s")) for i in each), F.lit(0.0)))
+    names = F.array(*[F.lit(x) for x in model.languages])
+    language = F.when(some, F.element_at(names, 1 - F.col("top.i"))).otherwise(UND)
+    probability = F.when(some, F.col("p")).otherwise(0.0)
+    return top.select("id", "key", language.alias("language"), probability.alias("probability"), (some & (F.col("top.i") > 1 - k) & (F.col("p") >= ACCEPT)).alias("accepted"))
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
