@@ -1,11 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds that no alignment of the threshold can avoid, then Smith-Waterman alignment.
 
-Pass 1 counts, over all documents, how many hold each word n-gram of the test items. An item's seeds are the rarer
-half of its distinct n-grams by that count (ties at the border count as rare), so a common phrase starts no alignment
-while an item that was copied thousands of times still has seeds. Pass 2 finds seeds in the training texts; where they
-lie near one diagonal of (text, item) that window of the text is aligned with the item, locally and word by word:
-match +2, other word -1, gap -1. The score is the alignment's over that of an exact copy. Edited and paraphrased
-copies keep most of it.
+A window of a text is aligned with an item, locally and word by word: match +2, other word -1, gap -1. The score is the
+alignment's over that of an exact copy. All pairs that reach the threshold are found, with their exact best score:
+
+Seeds are some words and some pairs of neighbouring words of the item. An alignment of m words' item that reaches the
+threshold t, with M matches in R runs, loses R - 1 at least, so 2 * M - (R - 1) >= 2 * t * m. Let k = M - R be its matched
+neighbours: it misses at most m * (1 - 2 * t) + k + 1 words. So either it holds one of any c words, or its k is
+c - m * (1 - 2 * t) - 1 at least, and all pairs but one fewer than that are enough as seeds. Pass 1 counts words and pairs
+over all documents; of each item the rarest words and pairs are taken, with the c that makes hits fewest. Counts decide
+only what the search costs.
+Pass 2 finds seeds in the training texts. Such an alignment spans m * (3 - 2 * t) words of text at most, so that it lies
+within one of the tiles, twice as long and overlapping by half, about its seed. Tiles that hold too few of the item's
+words for the threshold are left out (told by buckets of words, which never leaves out more), the others are aligned.
 
 Both passes are maps over the scan with the items broadcast; no text is shuffled. Items are taken in parts of
 ITEM_CHARS characters, so what is broadcast is bounded however many there are.
@@ -28,14 +34,14 @@ from pyspark.sql import functions as F
 from tessella.llm.common import col, ship
 from tessella.llm.words import Lookup, blocks, words
 
-N = 3
-RARE = 0.5
 THRESHOLD = 0.5
 MIN_ITEM_WORDS = 8
 ITEM_CHARS = 8_000_000
 MATCH, OTHER, GAP = 2, -1, -1
 #: Cells of a row of alignments that are worked on at once.
 CELLS = 1 << 18
+#: Buckets of words of a tile, as bits of their hash; tiles, and hits of seeds, that are worked on at once.
+BUCKET_BITS, TILES, HITS = 12, 1 << 10, 1 << 20
 
 FOUND = "doc_id bigint, item_id bigint, score double, start_char bigint, end_char bigint"
 
@@ -78,76 +84,125 @@ def local_align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.
     return score, at_item, at_window
 
 
-class Items:
-    """Test items by their words, and an index of some of their n-grams."""
-
-    def __init__(self, ids: list, hashes: list[np.ndarray], grams: list[np.ndarray], keep: set | None = None):
-        self.ids, self.hashes = ids, hashes
-        item = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)] or [np.zeros(0, int)])
-        pos = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)])
-        gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
-        if keep is not None:
-            ok = np.fromiter(((int(i), int(g)) in keep for i, g in zip(item, gram, strict=True)), np.bool_, len(gram))
-            item, pos, gram = item[ok], pos[ok], gram[ok]
-        order = np.argsort(gram, kind="stable")
-        self.item, self.pos = item[order], pos[order]
+def _ragged(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places first[k] .. first[k] + many[k] - 1 of all k, and the k of each."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum()), np.repeat(np.arange(len(many)), many)
+
+
+class Index:
+    """Which items have a seed."""
+
+    def __init__(self, gram: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, gram))
+        gram, item = gram[order], item[order]
+        new = np.ones(len(gram), np.bool_)
+        new[1:] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+        gram, self.item = gram[new], item[new]
         self.look = Lookup(gram)
-        self.first = np.searchsorted(gram[order], np.append(self.look.keys, []).astype(np.uint64))
-        self.first = np.append(self.first, len(gram))
+        self.first = np.append(np.searchsorted(gram, self.look.keys), len(gram))
+
+    def find(self, grams: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, place in the text, item) of the hits, HITS at once, about."""
+        at, key = self.look.find(grams)
+        many = self.first[key + 1] - self.first[key]
+        upto = np.cumsum(many)
+        s = 0
+        while s < len(at):
+            e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + HITS, side="right")))
+            where, k = _ragged(self.first[key[s:e]], many[s:e])
+            place = at[s:e][k]
+            text = np.searchsorted(first, place, side="right") - 1
+            yield text, place - first[text], self.item[where]
+            s = e
 
-    def find(self, texts: list[str | None], n: int = N, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, int, int]]:
+
+class Items:
+    """Test items by their words, and the indexes of their seeds: (item, gram) of words and of pairs."""
+
+    def __init__(self, ids: list, hashes: list[np.ndarray], seeds: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD):
+        self.ids, self.hashes, self.threshold = ids, hashes, threshold
+        self.index = [Index(gram, item) for item, gram in seeds]
+        self.size = np.fromiter((len(h) for h in hashes), np.int64, len(hashes))
+        self.span = np.maximum(1, np.floor(self.size * (3 - 2 * threshold) + 1e-9).astype(np.int64))
+        self.first = np.cumsum(self.size) - self.size
+        self.bucket = (np.concatenate(hashes or [np.zeros(0, np.uint64)]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    def _tiles(self, w) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, item, first word and end of the tiles that may hold an alignment of the threshold."""
+        bucket = (w.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        many = np.diff(w.first)
+        for index, (grams, first) in zip(self.index, ((w.hash, w.first), w.grams(2)), strict=True):
+            for text, place, item in index.find(grams, first):
+                tile = place // self.span[item]
+                most = int(tile.max()) + 1
+                key = np.unique((text * len(self.ids) + item) * most + tile)
+                key = np.unique(np.concatenate([key, (key - 1)[key % most > 0]]))
+                tile, item, text = key % most, key // most % len(self.ids), key // most // len(self.ids)
+                lo = tile * self.span[item]
+                hi = np.minimum(lo + 2 * self.span[item], many[text])
+                lo, hi = w.first[text] + lo, w.first[text] + hi
+                for s in range(0, len(key), TILES):
+                    part = slice(s, s + TILES)
+                    n = len(item[part])
+                    seen = np.zeros(n << BUCKET_BITS, np.bool_)
+                    at, row = _ragged(lo[part], (hi - lo)[part])
+                    seen[(row << BUCKET_BITS) + bucket[at]] = True
+                    at, row = _ragged(self.first[item[part]], self.size[item[part]])
+                    held = np.bincount(row[seen[(row << BUCKET_BITS) + self.bucket[at]]], minlength=n)
+                    ok = held >= self.threshold * self.size[item[part]] - 1e-9
+                    if ok.any():
+                        yield text[part][ok], item[part][ok], lo[part][ok], hi[part][ok]
+
+    def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, start and end character in the lower-case text) of each text with an alignment of the threshold or more."""
         for a, b in blocks(texts):
             w = words(texts[a:b])
-            g, first = w.grams(n)
-            at, key = self.look.find(g)
-            if not len(at):
-                continue
-            text = np.searchsorted(first, at, side="right") - 1
-            many = self.first[key + 1] - self.first[key]
-            where = np.repeat(self.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            text, item = np.repeat(text, many), self.item[where]
-            diagonal = np.repeat(at, many) - first[text] - self.pos[where]
-            order = np.lexsort((diagonal, item, text))
-            text, item, diagonal = text[order], item[order], diagonal[order]
-            size = np.fromiter((len(h) for h in self.hashes), np.int64, len(self.hashes))[item]
-            new = np.ones(len(text), np.bool_)
-            new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > size[1:])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(text)) - 1
-            todo = []
-            for s, e in zip(begin, end, strict=True):
-                k, i, m = int(text[s]), int(item[s]), int(size[s])
-                lo, hi = int(w.first[k]), int(w.first[k + 1])
-                todo.append((k, i, max(lo, lo + int(diagonal[s]) - m // 2), min(hi, lo + int(diagonal[e]) + m + m // 2)))
-            score, ei, ew = local_align([self.hashes[i] for _, i, _, _ in todo], [w.hash[x:y] for _, _, x, y in todo])
             best: dict[tuple[int, int], tuple] = {}
-            for c, (k, i, x, _) in enumerate(todo):
-                share = score[c] / (MATCH * len(self.hashes[i]))
-                if share >= threshold and share > best.get((k, i), (0,))[0]:
-                    best[k, i] = share, x, int(ei[c]), int(ew[c])
-            for (k, i), (share, x, last_i, last_w) in best.items():
-                back = local_align([self.hashes[i][: last_i + 1][::-1]], [w.hash[x : x + last_w + 1][::-1]])
-                yield a + k, i, float(share), int(w.start[x + last_w - int(back[2][0])]), int(w.end[x + last_w])
-
+            for text, item, lo, hi in self._tiles(w):
+                score, ei, ew = local_align([self.hashes[i] for i in item], [w.hash[x:y] for x, y in zip(lo, hi, strict=True)])
+                share = score / (MATCH * self.size[item])
+                for c in np.flatnonzero(share >= self.threshold):
+                    k, i, x = int(text[c]), int(item[c]), int(lo[c])
+                    new = (float(share[c]), -(x + int(ew[c])), x, int(ei[c]))
+                    best[k, i] = max(new, best.get((k, i), new))
+            for (k, i), (share, end, x, last_i) in best.items():
+                last = -end
+                back = local_align([self.hashes[i][: last_i + 1][::-1]], [w.hash[x : last + 1][::-1]])
+                yield a + k, i, share, int(w.start[last - int(back[2][0])]), int(w.end[last])
+
+
+def _counts(looks: list[Lookup]):
+    """How often all documents hold each word and pair; pairs are numbered after the words."""
 
-def _counts(look: Lookup, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(look.keys), np.int64)
+        total = [np.zeros(len(look.keys), np.int64) for look in looks]
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in blocks(texts):
-                g, first = words(texts[a:b]).grams(n)
-                at, key = look.find(g)
-                text = np.searchsorted(first, at, side="right") - 1
-                pairs = np.unique(text * len(look.keys) + key)
-                total += np.bincount(pairs % len(look.keys), minlength=len(look.keys))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["gram", "docs"])
+                w = words(texts[a:b])
+                for t, look, grams in zip(total, looks, (w.hash, w.grams(2)[0]), strict=True):
+                    t += np.bincount(look.find(grams)[1], minlength=len(t))
+        both = np.concatenate(total)
+        k = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(both[k])], ["gram", "n"])
 
     return run
 
 
+def choose(words_n: np.ndarray, pairs_n: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words and of the pairs of an item that are its seeds, by how often documents hold them."""
+    m = len(words_n)
+    word, pair = np.argsort(words_n, kind="stable"), np.argsort(pairs_n, kind="stable")
+    cost_w, cost_p = np.concatenate([[0], np.cumsum(words_n[word])]), np.concatenate([[0], np.cumsum(pairs_n[pair])])
+    spare = m * (1 - 2 * threshold) + 1
+    c = np.arange(max(0, int(np.floor(spare + 1e-9)) + 1), m)
+    p = len(pair) - np.maximum(0, np.ceil(c - spare - 1e-9).astype(np.int64) - 1)
+    # All the words need no pairs.
+    c, p = np.append(c, m), np.append(np.maximum(0, p), 0)
+    k = int(np.argmin(cost_w[c] + cost_p[p]))
+    return word[: c[k]], pair[: p[k]]
+
+
 def _parts(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray], list[np.ndarray]]]:
     """The items, ITEM_CHARS characters at a time, about: ids, words, n-grams."""
     items = items.select(col("item_id").cast("bigint").alias("item_id"), col("text").alias("text")).filter("text is not null").distinct()
@@ -160,45 +215,46 @@ def _parts(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray], list[np.n
         yield [r.item_id for r in rows], np.split(w.hash, w.first[1:-1]) if rows else [], w
 
 
-def seeds(docs: DataFrame, items: DataFrame, n: int = N, rare: float = RARE) -> Iterator[Items]:
-    """The items of each part with their rare n-grams, told by counts over all documents."""
+def seeds(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
+    """The items of each part with their seeds, chosen by counts over all documents."""
     spark = docs.sparkSession
     ship(spark)
     for ids, hashes, w in _parts(items):
-        g, first = w.grams(n)
+        g, first = w.grams(2)
         keep = [k for k in range(len(ids)) if len(hashes[k]) >= MIN_ITEM_WORDS]
         if not keep:
             continue
-        ids, hashes, grams = [ids[k] for k in keep], [hashes[k] for k in keep], [g[first[k] : first[k + 1]] for k in keep]
-        look = Lookup(np.concatenate(grams))
-        found = docs.select(col("text")).filter("text is not null").mapInArrow(_counts(look, n), "gram bigint, docs bigint")
-        count = np.zeros(len(look.keys), np.int64)
-        for r in found.groupBy("gram").agg(F.sum("docs").alias("docs")).toLocalIterator():
-            count[r.gram] = r.docs
-        chosen = set()
-        for k, own in enumerate(grams):
-            own = np.unique(own)
-            docs_of = count[np.searchsorted(look.keys, own)]
-            border = np.sort(docs_of)[max(0, int(np.ceil(rare * len(own))) - 1)]
-            chosen |= {(k, int(x)) for x in own[docs_of <= border]}
-        yield Items(ids, hashes, grams, chosen)
-
-
-def contaminated(docs: DataFrame, items: DataFrame, n: int = N, rare: float = RARE, threshold: float = THRESHOLD) -> DataFrame:
+        ids, hashes, pairs = [ids[k] for k in keep], [hashes[k] for k in keep], [g[first[k] : first[k + 1]] for k in keep]
+        looks = [Lookup(np.concatenate(hashes)), Lookup(np.concatenate(pairs))]
+        found = docs.select(col("text")).filter("text is not null").mapInArrow(_counts(looks), "gram bigint, n bigint")
+        count = np.zeros(len(looks[0].keys) + len(looks[1].keys), np.int64)
+        for r in found.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+            count[r.gram] = r.n
+        n_w, n_p = count[: len(looks[0].keys)], count[len(looks[0].keys) :]
+        chosen = [([], []), ([], [])]
+        for k, (h, p) in enumerate(zip(hashes, pairs, strict=True)):
+            places = choose(n_w[np.searchsorted(looks[0].keys, h)], n_p[np.searchsorted(looks[1].keys, p)], threshold)
+            for (item, gram), own, at in zip(chosen, (h, p), places, strict=True):
+                item.append(np.full(len(at), k))
+                gram.append(own[at])
+        yield Items(ids, hashes, [(np.concatenate(item), np.concatenate(gram)) for item, gram in chosen], threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, item_id, score, start_char, end_char): the best alignment of each pair that reaches the threshold.
 
     Characters count in the lower-case text.
     """
     spark = docs.sparkSession
     out = None
-    for part in seeds(docs, items, n, rare):
+    for part in seeds(docs, items, threshold):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
             own = shared.value
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), defaultdict(list)
-                for k, i, score, s, e in own.find(batch.column(1).to_pylist(), n, threshold):
+                for k, i, score, s, e in own.find(batch.column(1).to_pylist()):
                     for name, v in zip(("doc_id", "item_id", "score", "start_char", "end_char"), (ids[k], own.ids[i], score, s, e), strict=True):
                         rows[name].append(v)
                 if rows:
@@ -209,22 +265,22 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, rare: float = RA
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
-def _flag(shared, n: int, threshold: float) -> Column:
+def _flag(shared) -> Column:
     @F.arrow_udf("boolean")
     def dirty(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
             hit = np.zeros(len(t), np.bool_)
-            for found in shared.value.find(t.to_pylist(), n, threshold):
+            for found in shared.value.find(t.to_pylist()):
                 hit[found[0]] = True
             yield pa.array(hit)
 
     return dirty
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, rare: float = RARE, threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that hold an item, by the same rule; null and empty texts stay."""
     text = col("text")
     out = docs
-    for part in seeds(docs, items, n, rare):
-        out = out.filter(~_flag(docs.sparkSession.sparkContext.broadcast(part), n, threshold)(text))
+    for part in seeds(docs, items, threshold):
+        out = out.filter(~_flag(docs.sparkSession.sparkContext.broadcast(part))(text))
     return out

@@ -141,6 +141,40 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_all_alignments(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(30)]
+    items = [[r.choice(common) if r.random() < 0.4 else word() for _ in range(r.choice([8, 9, 20, 40]))] for _ in range(16)]
+
+    def edited(w, kind):
+        if kind in (3, 4, 5):
+            return [word() if i % kind == kind - 1 else x for i, x in enumerate(w)]
+        if kind == "inserted":
+            return [y for x in w for y in (x, word())]
+        if kind == "lost":
+            return [x for i, x in enumerate(w) if i % 3]
+        return [word() if r.random() < 0.3 else x for x in w] if kind == "random" else w
+
+    docs = []
+    for k, w in enumerate(items):
+        # Half of the items have an exact copy beside the edited ones.
+        for kind in (3, 4, 5, "inserted", "lost", "random", *["exact"] * (k % 2)):
+            body = edited(w, kind)
+            docs.append([r.choice(common) for _ in range(r.randrange(60))] + body + [word() for _ in range(r.randrange(60))])
+    hashes = [np.array([hash(x) & (2**63 - 1) for x in w], np.uint64) for w in items + docs]
+    pairs = [(d, i) for d in range(len(docs)) for i in range(len(items))]
+    score = decontam.local_align([hashes[i] for _, i in pairs], [hashes[len(items) + d] for d, _ in pairs])[0]
+    want = {p: s / 2 / len(items[p[1]]) for p, s in zip(pairs, score, strict=True) if s / 2 / len(items[p[1]]) >= decontam.THRESHOLD}
+    assert len(want) >= 80
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id): x.score for x in decontam.contaminated(df, b).collect()} == pytest.approx(want)
+    for t in (0.3, 0.45, 0.7, 1.0):
+        want = {p: s / 2 / len(items[p[1]]) for p, s in zip(pairs, score, strict=True) if s / 2 / len(items[p[1]]) >= t}
+        assert {(x.doc_id, x.item_id): x.score for x in decontam.contaminated(df, b, threshold=t).collect()} == pytest.approx(want)
+
+
 def test_vector_pairs_recall(spark):
     r = np.random.default_rng(11)
     base = r.normal(size=(1500, 64))
