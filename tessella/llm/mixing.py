@@ -4,7 +4,9 @@ Slot t of the schedule takes the golden-ratio point frac(t * phi), in 32-bit int
 cumulative weights holds it. The k-th slot of a source gets the source's k-th block: its documents in hashed order,
 cut where their running tokens pass multiples of block_tokens. The schedule ends before the first slot whose source
 has run out, so nothing is repeated, any stretch of it has the target weights, and the source that is scarcest for
-its weight is used up.
+its weight is used up. With exhaust, a source that has run out gives up its place while the others go on by their
+weights until all are used up, so that nothing is left out: block k of a source of weight w stands at (k + phase) / w,
+and the slots number the blocks of all sources in that order.
 
 Running sums are made in two levels (totals of hash buckets, then rows within a bucket), so that a hot source is
 spread over many tasks. Text is shuffled once, by (source, bucket); a bucket's slots come with it in an array.
@@ -58,10 +60,34 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     return hit.join(before, ["skey", "chunk"]).select("slot", "skey", (F.col("before") + within).alias("block"))
 
 
+def whole_schedule(sources: DataFrame) -> DataFrame:
+    """The slots of all blocks, as (slot, skey, block). sources: (skey, weight, blocks), weights of any scale."""
+    sources = sources.filter("weight > 0 and blocks > 0")
+    n, last = sources.agg(F.sum("blocks"), F.max(F.col("blocks") / F.col("weight"))).first()
+    chunks = (n or 0) // CHUNK + 1
+    runs = sources.withColumn("run", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {CHUNK})")))
+    blocks = runs.withColumn("block", F.explode(F.expr(f"sequence(run * {CHUNK}, least(blocks, (run + 1) * {CHUNK}) - 1)")))
+    # The phases keep sources of one weight apart.
+    at = (F.col("block") + F.expr(f"({hash_sql('skey')} + 0.5D) / {FULL}L")) / F.col("weight")
+    placed = blocks.select("skey", "block", at.alias("at")).withColumn("chunk", F.floor(F.col("at") * F.lit(chunks / (last or 1.0))))
+    before = (
+        placed.groupBy("chunk").count().select("chunk", (F.sum("count").over(Window.orderBy("chunk")) - F.col("count")).alias("before"))
+    )
+    within = F.row_number().over(Window.partitionBy("chunk").orderBy("at", "skey")) - 1
+    return placed.join(before, "chunk").select((F.col("before") + within).alias("slot"), "skey", "block")
+
+
 def mix(
-    df: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = BLOCK_TOKENS, temperature: float = TEMPERATURE
+    df: DataFrame,
+    weights: dict[str, float] | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    temperature: float = TEMPERATURE,
+    exhaust: bool = False,
 ) -> DataFrame:
-    """The documents of the mixture, with `block` BIGINT, its number in the source, and `slot` BIGINT, its place in the schedule."""
+    """The documents of the mixture, with `block` BIGINT, its number in the source, and `slot` BIGINT, its place in the schedule.
+
+    exhaust: go on until every source with a weight is used up.
+    """
     spark = df.sparkSession
     df = without(df, "slot", "block")
     skey, tok, h, bucket, start = fresh(df, "_skey", "_tokens", "_hash", "_bucket", "_start")
@@ -80,9 +106,12 @@ def mix(
         stats = stats.join(given, "skey")
     total = stats.agg(F.sum("n"), F.sum("blocks")).first()
     n_rows, n_blocks = total[0] or 0, total[1] or 0
-    slots = cut(schedule(stats.select("skey", "weight"), n_blocks + 1).join(stats.select("skey", "blocks"), "skey"))
-    end = slots.filter("block >= blocks").agg(F.min("slot")).first()[0]
-    slots = slots.filter(F.col("slot") < (end if end is not None else 0)).select("skey", "block", "slot")
+    if exhaust:
+        slots = cut(whole_schedule(stats)).select("skey", "block", "slot")
+    else:
+        slots = cut(schedule(stats.select("skey", "weight"), n_blocks + 1).join(stats.select("skey", "blocks"), "skey"))
+        end = slots.filter("block >= blocks").agg(F.min("slot")).first()[0]
+        slots = slots.filter(F.col("slot") < (end if end is not None else 0)).select("skey", "block", "slot")
 
     bits = min(24, max(0, (n_rows // BUCKET_ROWS).bit_length()))
     key = "coalesce(cast(`doc_id` as string), '')"

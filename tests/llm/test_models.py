@@ -153,6 +153,13 @@ def test_held_out_quality(spark):
     assert {r.quality for r in quality.score(odd, none).collect()} == {0.5, None}
 
 
+def test_pipeline_mixing_keeps_all(spark, corpus):
+    skewed = corpus.withColumn("source", F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("rare"), "doc_id")).when(F.col("doc_id") % 2 == 0, F.lit("hot")).otherwise(F.col("source")))
+    mixed = corpus_pipeline.source_mixing(spark, skewed, SF)
+    assert mixed.columns == [*skewed.columns, "mixture_slot"]
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in skewed.collect())
+
+
 def test_pipeline_against_brute_force(spark, corpus):
     from tests.llm.test_join import brute, grams
 

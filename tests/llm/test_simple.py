@@ -61,6 +61,33 @@ def test_mixing_follows_weights(spark):
     assert sorted(map(key, plain.collect())) == sorted(map(key, again.collect()))
 
 
+def test_mixing_to_the_end_keeps_all(spark):
+    r = random.Random(6)
+    sizes = {"hot": 3000, "rare": 12, None: 300, **{f"s{i}": 200 for i in range(5)}, **{f"one{i}": 1 for i in range(20)}}
+    rows = [(k, "x" * r.randrange(1, 400), s, "s", "t", 1) for k, s in enumerate([s for s, n in sizes.items() for _ in range(n)])]
+    rows += [(None, None, "hot", "s", "t", 1), (5, "", "rare", "s", "t", 1)]
+    df = docs(spark, rows)
+    got = mixing.mix(df, block_tokens=500, exhaust=True).collect()
+    plain = lambda x: (str(x.doc_id), str(x.text), str(x.source))
+    assert sorted(map(plain, got)) == sorted((str(a), str(b), str(c)) for a, b, c, *_ in rows)
+    at = {(x.source, x.block): x.slot for x in got}
+    assert len(set(at.values())) == len(at) == len({(x.source, x.block, x.slot) for x in got})
+    # A source's blocks come in order, and while sources last any stretch has their weights.
+    assert all(at[s, b] < at[s, b + 1] for s, b in at if (s, b + 1) in at)
+    tokens_of = Counter()
+    for x in got:
+        tokens_of[x.source] += max(1, -(-len(x.text or "") // 4))
+    last = min(max(v for (s, _), v in at.items() if s == f"s{i}") for i in range(5))
+    n = Counter(s for (s, _), v in at.items() if v < last)
+    assert n["hot"] / n["s0"] == pytest.approx((tokens_of["hot"] / tokens_of["s0"]) ** mixing.TEMPERATURE, rel=0.2)
+    again = mixing.mix(docs(spark, rows[::-1]).repartition(7), block_tokens=500, exhaust=True).collect()
+    key = lambda x: (*plain(x), x.slot)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    given = mixing.mix(df, {"hot": 1, "rare": 1e-12, "s0": 0, "zz": 3}, block_tokens=500, exhaust=True).collect()
+    assert Counter(x.source for x in given) == {"hot": 3001, "rare": 13}
+    assert mixing.mix(df.limit(0), exhaust=True).count() == 0
+
+
 def test_codes_give_any_token():
     r = np.random.default_rng(2)
     for n in (0, 1, 63, 64, 65, 511, 513, 5000):
