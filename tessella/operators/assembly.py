@@ -61,12 +61,13 @@ def claims(items: DataFrame, graph: str) -> DataFrame:
     )
 
 
-def cooccurrence(tokens: DataFrame, least: int, most: int) -> DataFrame:
+def cooccurrence(tokens: DataFrame, least: int, most: int | None = None) -> DataFrame:
     """Pairs of terms of a chunk as relationship items, of terms that between least and most chunks hold.
 
-    tokens: document_id, chunk_id, chunk_index, term, once a chunk. The band keeps a chunk's pairs few: a term in more
-    chunks than `most` tells little, one in fewer than `least` can't repeat."""
-    band = tokens.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(least, most))
+    tokens: document_id, chunk_id, chunk_index, term, once a chunk. A term in fewer chunks than `least` can't repeat.
+    Without `most` no term is too frequent: pairs are made within a chunk, so that its length bounds them."""
+    df = F.col("df")
+    band = tokens.groupBy("term").agg(F.count("*").alias("df")).filter(df >= least if most is None else df.between(least, most))
     t = tokens.join(band, "term").select("document_id", "chunk_id", "chunk_index", "term")
     terms = t.groupBy("document_id", "chunk_id", "chunk_index").agg(F.array_sort(F.collect_list("term")).alias("t")).filter("size(t) > 1")
     pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("s"), b.alias("o")))))

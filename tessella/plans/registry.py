@@ -149,6 +149,13 @@ def relationship_weight(t):
     return x.select("source_id", "target_id", "weight", joined("source_chunk_ids").alias("chunks"))
 
 
+@query(_TOKENS + f""", band AS (SELECT term FROM tokens GROUP BY term HAVING count(*) >= {LOW}), k AS (SELECT * FROM tokens JOIN band USING (term))
+SELECT a.term AS source_id, b.term AS target_id, count(*)::DOUBLE AS weight FROM k a JOIN k b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL""")
+def relationship_weight_all(t):
+    """relationship_weight with the terms of more than HIGH chunks too."""
+    return assembly.relationships(assembly.cooccurrence(text_tokens(t), LOW)).select("source_id", "target_id", "weight")
+
+
 @query(_TOKENS + "SELECT term, arg_min(chunk_id, (document_id, chunk_index, pos)) AS first_chunk, count(*) AS n FROM tokens GROUP BY term")
 def entity_first_seen(t):
     x = text_tokens(t).withColumn("node_id", F.col("term"))

@@ -14,6 +14,14 @@ def ents(spark, names, kind="Organization"):
     return spark.createDataFrame([("g", f"e{i}", kind, n, "") for i, n in enumerate(names)], "graph_name string, id string, type string, name string, description string")
 
 
+def test_cooccurrence_of_frequent_terms(spark):
+    rows = [("d", f"d:{i}", i, term) for i in range(60) for term in ("everywhere", "frequent", *(["sometimes"] if i < 3 else []), f"once{i}")]
+    tokens = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index int, term string")
+    got = assembly.relationships(assembly.cooccurrence(tokens, 2)).collect()
+    assert {(r.source_id, r.target_id): r.weight for r in got} == {("everywhere", "frequent"): 60, ("everywhere", "sometimes"): 3, ("frequent", "sometimes"): 3}
+    assert assembly.cooccurrence(tokens, 2, 40).count() == 0
+
+
 def test_exact_and_normalized_groups(spark):
     assert [r.ids for r in resolve.groups(ents(spark, ["OpenAI", "OpenAI", "openai"])).collect()] == [["e0", "e1"]]
     assert [r.ids for r in resolve.groups(ents(spark, ["Microsoft Corp.", "Microsoft Corporation", None]), True).collect()] == [["e0", "e1"]]
