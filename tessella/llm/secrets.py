@@ -84,7 +84,8 @@ class Rule(NamedTuple):
 
 _END = r"(?![A-Za-z0-9_])"
 _BEGIN = r"(?<![A-Za-z0-9_])"
-_VALUE = r"""\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/=_.~!@#$%^&*-]{8,})["']?"""
+#: After a keyword: the rest of the name, the name's closing quote, a sign of assignment and the value.
+_VALUE = r"""(?i:(?:[_-](?:key|id))?)["']?(?:\s{0,3}|[ \t]*)(?::=|=>|[=:])(?:\s{0,3}|[ \t]*)["']?([A-Za-z0-9+/=_.~!@#$%^&*-]{8,})["']?"""
 RULES = [
     Rule("aws_access_key", ("akia", "asia", "abia", "acca"), rf"{_BEGIN}((?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{{16}}){_END}"),
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), rf"{_BEGIN}(gh[pousr]_[A-Za-z0-9]{{36}}){_END}", crc_base62),
@@ -100,7 +101,7 @@ RULES = [
     Rule("private_key", ("-----begin ",), r"(-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)"),
     Rule("wallet_private_key", ("xprv",), rf"{_BEGIN}(xprv[1-9A-HJ-NP-Za-km-z]{{107}}){_END}", base58check),
     Rule("age_secret_key", ("age-secret-key-1",), rf"{_BEGIN}(AGE-SECRET-KEY-1[QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{{58}}){_END}", bech32),
-    Rule("password_assignment", ("password", "passwd", "pwd"), rf"(?i:{_BEGIN}(?:password|passwd|pwd)){_VALUE}"),
+    Rule("password_assignment", ("password", "passwd", "pwd"), rf"(?i:(?:password|passwd|pwd)){_VALUE}"),
     Rule("token_assignment", ("token", "secret", "api_key", "apikey", "api-key", "access_key"), rf"(?i:(?:access_token|token|secret|api[_-]?key|access_key)){_VALUE.replace('{8,}', '{16,}')}"),
 ]
 

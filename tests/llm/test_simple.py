@@ -137,6 +137,23 @@ def test_secrets(spark):
     assert brute == {(f[1], f[0]) for f in found}
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"password": "hunter2hunter2"}', '{"api_key": "abcdefabcdef0123456789"}', "DB_PASSWORD=hunter2hunter2", "secret_key = abcdefabcdef0123456789",
+        "SECRET_KEY='abcdefabcdef0123456789'", "db.password: hunter2hunter2", "aws_access_key_id=abcdefabcdef0123456789", "password:        hunter2hunter2",
+        "'token' => 'abcdefabcdef0123456789'", 'password := "hunter2hunter2"', 'token = "abcdefabcdef0123456789"',
+    ],
+)
+def test_assigned_secrets(text):
+    assert [x[4] for x in secrets.scan(text)] == ["hunter2hunter2" if "hunter2" in text else "abcdefabcdef0123456789"]
+
+
+def test_no_secret_without_a_value():
+    for text in ("password", "the password is: short", "secret_keys = abcdefabcdef0123456789", "passwords and tokens: none"):
+        assert not secrets.scan(text)
+
+
 def test_warc(spark):
     html = '<!DOCTYPE html><html lang="FR"><head><title>T &amp;\n x</title></head><body><nav>no</nav><p>A&#233;&lt;b</p><!-- c --><a href="/u">L</a><script >var t="</p>";</script></body></html>'
     rows = warc.derive(spark.createDataFrame([(1, "http://a/", html), (2, None, None), (1, "http://a/", html)], "page_id bigint, url string, html string"))
