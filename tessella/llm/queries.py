@@ -10,7 +10,7 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda s, d: sharding.assign(read(s, d, "documents")),
         "op2_decontamination": lambda s, d: decontam.contaminated(read(s, d, "documents"), read(s, d, "benchmark")),
-        "op3_jaccard_join": lambda s, d: jaccard.similar(read(s, d, "documents")),
+        "op3_jaccard_join": lambda s, d: jaccard.links(read(s, d, "documents")),
         "op4_token_codes": lambda s, d: tokens.token_table(read(s, d, "documents")),
         "op5_language_id": lambda s, d: langid.of_documents(read(s, d, "documents")),
         "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),

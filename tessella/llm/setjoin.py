@@ -5,7 +5,7 @@ ordered by size. For a probing set, each block admits one run of sizes (the posi
 blocks whose run is empty are skipped.
 
 Answer level: a set that is probed becomes a leader; its answers are its overlaps with all sets that it, or a set
-within REUSE of it, might match. A set that differs from the leader in few tokens isn't probed: its overlaps are the
+within reuse() of it, might match. A set that differs from the leader in few tokens isn't probed: its overlaps are the
 leader's, less those of the tokens it lacks, plus those of the tokens it adds.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A set follows a leader from which it differs in this share of the leader's tokens at most.
+#: A set follows a leader from which it differs in this share of the leader's tokens at most, and in less at low thresholds.
 REUSE = 0.2
 #: Positions of a block.
 SPAN = 16
@@ -24,6 +24,16 @@ def least(size: np.ndarray | int, threshold: float):
     return np.ceil(threshold * np.asarray(size, np.float64) - 1e-9).astype(np.int64)
 
 
+def reuse(threshold: float) -> float:
+    """The share of its leader's tokens in which a follower may differ, so that all its partners share a token with the leader.
+
+    A partner shares threshold times the follower's size with the follower at least. Of these the follower adds a tokens
+    to the leader's; with b that it lacks, a < threshold * (size + a - b) holds if a + b is below the leader's size times
+    threshold / max(threshold, 1 - threshold).
+    """
+    return min(REUSE, 0.9 * threshold / max(threshold, 1 - threshold))
+
+
 def _reach(share: np.ndarray | float, threshold: float):
     return share >= threshold - 1e-12
 
@@ -68,7 +78,7 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
     low_position = list_block[begin] * SPAN
     list_first = np.searchsorted(list_token, np.arange(n_tokens + 1))
 
-    c = threshold / (1 + threshold)
+    c, follows = threshold / (1 + threshold), reuse(threshold)
     leader = np.full(k, -1)
     answers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     followers: dict[int, int] = {}
@@ -81,7 +91,7 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
 
     def probe(x: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates of a leader and of what may follow it, and its overlaps with them."""
-        own, pos, slack = token[first[x] : first[x + 1]], position[first[x] : first[x + 1]], int(REUSE * rank[x])
+        own, pos, slack = token[first[x] : first[x + 1]], position[first[x] : first[x + 1]], int(follows * rank[x])
         many = block_of[own + 1] - block_of[own]
         b, i = spread(block_of[own], many), np.repeat(pos, many)
         lo = (c * rank[x] + low_position[b] - slack) / (1 - c)
@@ -101,7 +111,7 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
         if leader[x] < 0:
             found, shared = probe(x)
             gap = rank[found] + rank[x] - 2 * shared
-            follow = found[(gap <= int(REUSE * rank[x])) & (leader[found] < 0) & (found > x)]
+            follow = found[(gap <= int(follows * rank[x])) & (leader[found] < 0) & (found > x)]
             leader[follow] = x
             leader[x] = x
             if len(follow):
