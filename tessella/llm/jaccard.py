@@ -7,10 +7,11 @@ A document is the set of its word n-grams. Texts with equal sets form a class, a
    ones by count). What is broadcast is at most HEAVY_LIMIT of them. The pass also gives each set some bands of least
    hashes; sets with an equal band are kin. Kinship is never an answer, it only says that two sets will meet in step 3
    anyhow; groups of copies so cost what they are, not their square, in step 2.
-2. In that order each set sends its prefix to the lists of its n-grams. Two sets of Jaccard t or more meet in one.
-   Lists give pairs of compatible sizes that aren't kin with the number of n-grams they share there; a pair goes on if
-   those and the rest beyond the prefixes could suffice. What passes joins the kin in connected components. Lists tell
-   n-grams by 32 bits; two that fall together can only add a pair.
+2. In that order each set sends its prefix to the lists of its n-grams, with their positions. Two sets of Jaccard t or
+   more meet in one. Lists are cut into blocks of positions; of each block an entry meets the one run of sizes that size
+   and position admit, and skips the rest, as it skips kin. A pair goes on if the n-grams it shares in lists and the rest
+   beyond the prefixes could suffice. What passes joins the kin in connected components. Lists tell n-grams by 32 bits and
+   positions by 8, rounded down; that can only add a pair.
 3. The whole sets of a component meet in one task (an oversized one is cut into a grid of tasks), where an exact join
    skips by set relations (see setjoin): lists in position blocks, and answers derived from those of a similar set.
 
@@ -52,8 +53,8 @@ THRESHOLD = 0.44
 HEAVY, RUN, HEAVY_LIMIT = 32, 1 << 21, 1 << 21
 #: N-grams of the sets that one task joins, about.
 TASK_GRAMS = 1 << 21
-#: Pairs of a list that are made at once.
-PAIRS = 1 << 19
+#: Pairs of lists, and entries with the blocks they meet, that are made at once; blocks of positions of a list.
+PAIRS, BLOCKS = 1 << 19, 16
 #: Bands of a set, and least hashes in each; kin that are broadcast at most, larger groups first.
 BANDS, BAND, KIN_LIMIT = 4, 4, 1 << 22
 #: Buckets of lists at least, and n-grams of all sets for each; documents whose lists are made up at once.
@@ -214,7 +215,7 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in (b.column(0).slice(a, SLICE) for b in batches for a in range(0, len(b), SLICE)):
-            tokens, keys, sizes, many, seen = [], [], [], [], set()
+            tokens, places, keys, sizes, seen = [], [], [], [], set()
             for _, s in sets(texts.to_pylist(), n):
                 key = set_key(s)
                 if key not in seen:
@@ -222,19 +223,20 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
                     keys.append(key)
                     sizes.append(len(s))
                     tokens.append(order.value.tokens(s)[: len(s) - int(least(len(s), threshold)) + 1])
-                    many.append(len(tokens[-1]))
+                    places.append(np.arange(len(tokens[-1])) * 256 // len(s))
             if not keys:
                 continue
-            token, owner = np.concatenate(tokens), np.repeat(np.arange(len(keys), dtype=np.int32), many)
+            token, owner = np.concatenate(tokens), np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in tokens])
+            place = np.concatenate(places).astype(np.uint8)
             key, size = np.array(keys, np.int64), np.array(sizes, np.uint32)
             token = mix64(token)
             bucket = ((token >> _U(32)) % _U(buckets)).astype(np.int32)
             token = token.astype(np.uint32)
             by = np.argsort(bucket, kind="stable")
-            token, owner, bucket = token[by], owner[by], bucket[by]
+            token, owner, place, bucket = token[by], owner[by], place[by], bucket[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             blobs = []
-            for t, o in zip(np.split(token, cuts), np.split(owner, cuts), strict=True):
+            for t, o, at in zip(np.split(token, cuts), np.split(owner, cuts), np.split(place, cuts), strict=True):
                 begin = np.flatnonzero(np.diff(o, prepend=-1))
                 own = o[begin]
                 length = np.diff(np.append(begin, len(o)))
@@ -242,81 +244,105 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
                 parts = (length - 1) // 255 + 1
                 own = np.repeat(own, parts)
                 length = np.where(np.arange(len(own)) + 1 == np.repeat(np.cumsum(parts), parts), np.repeat((length - 1) % 255 + 1, parts), 255)
-                blobs.append(_pack(np.uint32(len(own)), key[own], size[own], length.astype(np.uint8), t))
+                blobs.append(_pack(np.uint32(len(own)), key[own], size[own], length.astype(np.uint8), t, at))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])]), pa.array(blobs, pa.binary())], ["bucket", "lists"])
 
     return run
 
 
-def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, class and size of the entries of a bucket of which the token occurs in several classes; by token."""
-    token, key, size = [], [], []
+def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, position, class and size of the entries of a bucket of which the token occurs in several classes."""
+    token, place, key, size = [], [], [], []
     for raw in table.column("lists"):
         raw = raw.as_py()
         m = int(np.frombuffer(raw, np.uint32, 1)[0])
         length = np.frombuffer(raw, np.uint8, m, 4 + 12 * m)
+        n = int(length.sum(dtype=np.int64))
         key.append(np.repeat(np.frombuffer(raw, np.int64, m, 4), length))
         size.append(np.repeat(np.frombuffer(raw, np.uint32, m, 4 + 8 * m), length))
-        token.append(np.frombuffer(raw, np.uint32, int(length.sum(dtype=np.int64)), 4 + 13 * m))
-    token, key, size = np.concatenate(token), np.concatenate(key), np.concatenate(size)
+        token.append(np.frombuffer(raw, np.uint32, n, 4 + 13 * m))
+        place.append(np.frombuffer(raw, np.uint8, n, 4 + 13 * m + 4 * n))
+    token, place, key, size = (np.concatenate(x) for x in (token, place, key, size))
     by = np.argsort(token)
-    token, key, size = token[by], key[by], size[by]
+    token = token[by]
     same = token[1:] == token[:-1]
     keep = np.append(same, False) | np.append(False, same)
-    token, key, size = token[keep], key[keep], size[keep]
-    by = np.lexsort((key, size, token))
-    token, key, size = token[by], key[by], size[by]
-    new = np.ones(len(token), np.bool_)
-    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    return token[new].astype(np.int64), key[new], size[new].astype(np.int64)
+    by = by[keep]
+    return token[keep].astype(np.int64), place[by], key[by], size[by].astype(np.int64)
 
 
 def _meet(kin: Broadcast, threshold: float, buckets: int):
-    """Of a bucket's lists: pairs of classes of compatible sizes and how many tokens they share there, by bucket of pairs."""
+    """Of a bucket's lists: pairs of classes that aren't kin and how many tokens they share there, by bucket of pairs."""
+    c = threshold / (1 + threshold)
 
     def run(table: pa.Table) -> pa.Table:
-        token, key, size = _lists(table)
-        classes, local = np.unique(key, return_inverse=True)
-        k = len(classes)
-        size_of = np.zeros(k, np.int64)
-        size_of[local] = size
-        root = np.arange(k)
+        token, place, key, size = _lists(table)
+        if not len(token):
+            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
+        # Classes are numbered by size, then key.
+        classes, at, local = np.unique(key, return_index=True, return_inverse=True)
+        by = np.argsort(size[at], kind="stable")
+        classes, size_of, k = classes[by], size[at][by], len(by)
+        number = np.empty(k, np.int64)
+        number[by] = np.arange(k)
+        local = number[local]
         known, group = kin.value
-        if len(known) and k:
-            at = np.minimum(np.searchsorted(known, classes), len(known) - 1)
-            root = np.where(known[at] == classes, k + group[at], root)
-        begin = np.flatnonzero(np.diff(token, prepend=token[:1] ^ 1)) if len(token) else np.zeros(0, np.int64)
-        # In a list the sets go by size: an entry's partners are the ones before it from the least size it admits on.
-        run_of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-        scale = int(size.max()) + 2 if len(size) else 2
-        low = np.searchsorted(run_of * scale + size, run_of * scale + least(size, threshold)) if len(token) else begin
-        many = np.arange(len(token)) - low
+        root = np.arange(k)
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, classes), len(known) - 1)
+            root = np.where(known[spot] == classes, k + group[spot], root)
+        # Lists by token, block of positions, class. A class has a token twice only where two n-grams fall together.
+        block = place.astype(np.int64) * BLOCKS // 256
+        by = np.lexsort((local, block, token))
+        token, block, local, place = token[by], block[by], local[by], place[by]
+        begin = np.flatnonzero((np.diff(token, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        runs = np.cumsum(np.isin(np.arange(len(token)), begin, assume_unique=True)) - 1
+        keys, runs_of = runs * k + local, np.searchsorted(token[begin], token, side="right") - np.searchsorted(token[begin], token)
+        first_run = np.searchsorted(token[begin], token)
+        own = size_of[local]
+        # A partner comes before the entry in size, and is of the least size that it admits at least; what follows either's position has to suffice.
+        low = least(own, threshold)
+        high = np.minimum(local, np.searchsorted(size_of, own * (1 - place / 256) / c - own + 1e-6, side="right"))
+        spare = 1 - c - block[begin] / BLOCKS
         found, counts, a = [], [], 0
-        upto = np.concatenate([[0], np.cumsum(many)])
-        while a < len(token):
-            b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, side="right")) - 1)
-            m = many[a:b]
-            y = np.repeat(np.arange(a, b), m)
-            x = np.repeat(low[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            p, q = local[x], local[y]
+        upto = np.concatenate([[0], np.cumsum(runs_of)])
+
+        def count(x: np.ndarray, start: np.ndarray, many: np.ndarray) -> None:
+            y = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            p, q = local[y], np.repeat(local[x], many)
             other = root[p] != root[q]
-            p, q = p[other], q[other]
-            pair, c = np.unique(np.minimum(p, q) * k + np.maximum(p, q), return_counts=True)
+            pair, n = np.unique(p[other] * k + q[other], return_counts=True)
             found.append(pair)
-            counts.append(c)
+            counts.append(n)
+
+        while a < len(token):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, side="right")) - 1)
+            x = np.repeat(np.arange(a, b), runs_of[a:b])
+            r = first_run[x] + np.arange(len(x)) - np.repeat(upto[a:b] - upto[a], runs_of[a:b])
+            with np.errstate(divide="ignore"):
+                by_place = np.where(spare[r] > 0, c * own[x] / spare[r] - 1e-6, np.inf)
+            start = np.searchsorted(keys, r * k + np.searchsorted(size_of, np.maximum(low[x], by_place)))
+            many = np.searchsorted(keys, r * k + high[x]) - start
+            some = many > 0
+            x, start, many = x[some], start[some], many[some]
+            pairs_upto, u = np.concatenate([[0], np.cumsum(many)]), 0
+            while u < len(x):
+                v = max(u + 1, int(np.searchsorted(pairs_upto, pairs_upto[u] + PAIRS, side="right")) - 1)
+                count(x[u:v], start[u:v], many[u:v])
+                u = v
             a = b
-        if not found:
+        if not sum(map(len, found)):
             return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
         pair, at = np.unique(np.concatenate(found), return_inverse=True)
-        count = np.minimum(np.bincount(at, np.concatenate(counts)), 65535).astype(np.uint16)
+        shared = np.minimum(np.bincount(at, np.concatenate(counts)), 65535).astype(np.uint16)
         p, q = pair // k, pair % k
-        ka, kb = classes[p], classes[q]
-        sa, sb = (np.minimum(size_of[v], 65535).astype(np.uint16) for v in (p, q))
+        ka, kb = np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q])
+        sa, sb = (np.minimum(size_of[np.where(classes[p] == x, p, q)], 65535).astype(np.uint16) for x in (ka, kb))
         bucket = (mix64(ka.view(_U) ^ mix64(kb.view(_U))) % _U(buckets)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-        blobs = [_pack(np.uint32(len(r)), ka[r], kb[r], sa[r], sb[r], count[r]) for r in np.split(by, cuts)] if len(by) else []
-        return pa.table({"bucket": pa.array(bucket[[r[0] for r in np.split(by, cuts)]] if len(by) else bucket), "pairs": pa.array(blobs, pa.binary())})
+        parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
+        blobs = [_pack(np.uint32(len(r)), ka[r], kb[r], sa[r], sb[r], shared[r]) for r in parts]
+        return pa.table({"bucket": pa.array(bucket[[r[0] for r in parts]]), "pairs": pa.array(blobs, pa.binary())})
 
     return run
 
