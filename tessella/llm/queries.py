@@ -16,7 +16,7 @@ def queries() -> dict:
         "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
         "op7_secrets": lambda s, d: secrets.find(read(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.mix(read(s, d, "documents")),
-        "op9_embedding_pairs": lambda s, d: pq.near(read(s, d, "embeddings")),
+        "op9_embedding_pairs": lambda s, d: pq.links(read(s, d, "embeddings")),
         "op10_warc": lambda s, d: warc.derive(read(s, d, "pages")),
         "page_language": lambda s, d: langid.of_pages(read(s, d, "pages"), read(s, d, "documents")),
     }

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import decontam, jaccard, pq, setjoin
+from tessella.llm import decontam, graph, jaccard, pq, setjoin
 from tessella.llm.graph import components
 
 
@@ -46,13 +47,19 @@ def corpus(seed=1, n=60):
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9, 1.0])
+@pytest.mark.parametrize("threshold", [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.6, 0.9, 1.0])
 def test_set_join_is_exact(threshold):
     r = np.random.default_rng(5)
     base = [np.unique(r.integers(0, 300, r.integers(1, 60))).astype(np.uint64) for _ in range(25)]
     sets = base + [np.setdiff1d(b, b[:: max(2, len(b) // 3)]) for b in base if len(b) > 3]
     want = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     want = {k: v for k, v in want.items() if v >= threshold - 1e-12}
+    if threshold < 0.2:
+        # A follower whose partner shares nothing with the leader.
+        a = np.arange(1000, 1100, dtype=np.uint64)
+        chain = [a, np.concatenate([a, np.arange(2000, 2010, dtype=np.uint64)]), np.arange(2000, 2010, dtype=np.uint64)]
+        i, j, _ = setjoin.jaccard_join(chain, threshold)
+        assert {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True)} == {(0, 1)} | ({(1, 2)} if 10 / 110 >= threshold else set())
     for f in (setjoin.jaccard_join, setjoin.few_join):
         i, j, s = f(sets, threshold)
         assert {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)} == pytest.approx(want)
@@ -68,6 +75,50 @@ def test_jaccard_join_is_exact(spark):
     assert jaccard.similar(df.limit(0)).count() == 0
 
 
+def linked(rows, t=jaccard.THRESHOLD):
+    """doc_id -> (class_id, n_links), by all pairs; ids are unique."""
+    root = {i: i for i, _ in rows if i is not None}
+    n = dict.fromkeys(root, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(rows, t):
+        n[a] += 1
+        n[b] += 1
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: (find(i), n[i]) for i in root}
+
+
+@pytest.mark.parametrize("small", ["", "limits", "tasks"])
+def test_links(spark, monkeypatch, small):
+    rows = corpus(4, 40)
+    if small == "limits":
+        for name, value in (("HEAVY", 2), ("HEAVY_LIMIT", 3), ("KIN_LIMIT", 2), ("BUCKET_GRAMS", 100), ("RUN", 500), ("FEW", 0)):
+            monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(graph, "ONE_TASK", 0)
+    if small == "tasks":
+        monkeypatch.setattr(jaccard, "TASK_GRAMS", 400)
+        # A hot group: a third of all rows are copies, half of these edited.
+        words = rows[0][1].split() + ["hot%d" % i for i in range(80)]
+        rows += [(len(rows) + i, " ".join(words if i % 2 else [*words[:i], "x%d" % i, *words[i:]])) for i in range(len(rows) // 2)]
+    rows += [(9000, "..."), (9001, ""), (9002, None), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, class string, `class_id` int, `a.b` int")
+    got = jaccard.links(df).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == linked(rows) and len(got) == len(rows) - 1
+    if not small:
+        found = {(r.doc_a, r.doc_b) for r in jaccard.expand(jaccard.similar(df, threshold=0.1)).collect()}
+        assert found == set(brute(rows, 0.1))
+        again = jaccard.links(df.union(df)).collect()
+        assert sorted(again) == sorted(got)
+        assert jaccard.links(df.limit(0)).count() == 0
+    else:
+        assert sorted(r.doc_id for r in jaccard.deduplicate(df).collect() if r.doc_id is not None) == sorted({r for r, _ in linked(rows).values()})
+
+
 def test_deduplication_keeps_one_of_each_group(spark):
     rows = corpus(2)
     full = [(i, t, 1) for i, t in rows] + [(None, rows[0][1], 2), (500, "zz yy xx", 3), (500, "zz yy xx", 3), (501, None, 4), (502, "", 5)]
@@ -199,3 +250,59 @@ def test_vector_pairs_recall(spark):
     assert rest <= want and len(rest) >= 0.95 * len(want)
     assert all(got[p] == pytest.approx(s[p]) for p in rest)
     assert pq.near(df.limit(0)).count() == 0
+
+
+def vectors(seed=21, n=500):
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(n, 24))
+    hot = base[0] + r.normal(size=(n // 3, 24)) * 0.15
+    near = np.repeat(base[:40], 4, axis=0) + r.normal(size=(160, 24)) * r.choice([0.02, 0.2, 0.35], 160)[:, None]
+    return np.concatenate([base, hot, near, base[:30], base[:5], np.repeat(base[7:8], 50, axis=0)]).astype(np.float32)
+
+
+def linked_vectors(x, t=pq.THRESHOLD):
+    """(class_id, n_links) of each row, by all pairs."""
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    _, same = np.unique(x, axis=0, return_inverse=True)
+    good = ((u @ u.T) >= t) | (same[:, None] == same[None])
+    np.fill_diagonal(good, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(good, label[None], len(x)).min(axis=1))
+        if np.array_equal(new, label):
+            return list(zip(label.tolist(), good.sum(axis=1).tolist(), strict=True))
+        label = new
+
+
+@pytest.mark.parametrize("small", ["", "parts", "two levels", "joined", "sample"])
+def test_vector_links_are_all_found_with_all_probes(spark, monkeypatch, small):
+    monkeypatch.setattr(pq, "MARGIN", 100.0)
+    monkeypatch.setattr(pq, "LIST", 16)
+    for name, value in {"parts": {"PART": 8}, "two levels": {"COARSE": 5, "FINE": 4}, "joined": {"COPIES": 0}, "sample": {"SAMPLE": 40}}.get(small, {}).items():
+        monkeypatch.setattr(pq, name, value)
+    x = vectors()
+    df = spark.createDataFrame([(i, v.tolist(), 1, "a", 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, class int, `n.links` string, class_id int")
+    odd = [(9000, None), (9001, []), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, [float("inf")] * 24), (None, x[0].tolist()), (9005, [1.0, 2.0]), (9006, [1.0, 2.0]), (9007, [2.0, 4.001]), (9008, [None, 1.0]), (0, x[0].tolist())]
+    df = df.unionByName(spark.createDataFrame(odd, "vec_id bigint, embedding array<float>"), allowMissingColumns=True)
+    want = dict(enumerate(linked_vectors(x))) | {i: (i, 0) for i in (9000, 9001, 9002, 9003, 9004, 9008)} | {i: (9005, 2) for i in (9005, 9006, 9007)}
+    got = pq.links(df).collect()
+    assert {r.vec_id: (r.class_id, r.n_links) for r in got} == want and len(got) == len(want)
+    if not small:
+        assert pq.links(df.limit(0)).count() == 0
+        doubles = pq.links(df.withColumn("embedding", F.col("embedding").cast("array<double>"))).collect()
+        assert sorted(doubles) == sorted(got)
+
+
+def test_vector_links_recall(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(6000, 64))
+    near = np.repeat(base[:300], 5, axis=0) + r.normal(size=(1500, 64)) * r.choice([0.1, 0.3, 0.4, 0.45], 1500)[:, None]
+    x = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {v.vec_id: v.n_links for v in pq.links(df).collect()}
+    want = linked_vectors(x)
+    assert all(got[i] <= n for i, (_, n) in enumerate(want))
+    recall = sum(got.values()) / sum(n for _, n in want)
+    print("recall", recall)
+    assert recall >= 0.98
