@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ from tessella.functions.text import entity_text, token_count
 from tessella.models import embed
 from tessella.operators import assembly, chunking, communities, context, extraction, mapreduce, resolve, search, traverse
 from tessella.sources import readers
-from tessella.sources.lineage import cut
+from tessella.sources.lineage import cut, ship
 from tessella.sources.store import GraphStore
 
 
@@ -35,31 +36,63 @@ class Answer:
 
 
 class Engine:
-    """A graph of one name in a store. chat and embedder are as in tessella.models."""
+    """A graph of one name in a store. chat and embedder are as in tessella.models, prompts the templates of what is asked."""
 
-    def __init__(self, spark: SparkSession, path: str, graph: str = "entity-graph", schema: extraction.Schema | None = None, chat=None, embedder=None):
-        self.spark, self.store, self.graph, self.schema, self.chat, self.embedder = spark, GraphStore(spark, path), graph, schema, chat, embedder
+    def __init__(self, spark: SparkSession, path: str, graph: str = "entity-graph", schema: extraction.Schema | None = None, chat=None, embedder=None, prompts: extraction.Prompts = extraction.Prompts()):
+        self.spark, self.store, self.graph, self.schema, self.chat, self.embedder, self.prompts = spark, GraphStore(spark, path), graph, schema, chat, embedder, prompts
+        ship(spark)
 
     # Building
 
-    def build(self, documents: DataFrame, size: int = 1000, overlap: int = 200, unit: str = "chars", gleanings: int = 0, with_claims: bool = False) -> dict[str, int]:
-        """Chunks envelopes (text or pages, metadata), extracts, filters by the schema, assembles and writes."""
-        docs = readers.envelopes(documents)
+    def build(
+        self, documents: DataFrame, size: int = 1000, overlap: int = 200, unit: str = "chars", window: int = 2, window_overlap: int = 1,
+        counter: chunking.TokenCounter | None = None, gleanings: int = 0, with_claims: bool = False,
+    ) -> dict[str, int]:
+        """Chunks envelopes, extracts, filters by the schema, assembles and writes; the rows written by table.
+
+        Texts are cut by characters or tokens (a counter's, approximate ones without it), pages into windows. Chunks have
+        their document's metadata, with what they are of it laid over.
+        """
         if unit not in ("chars", "tokens"):
             raise ValueError("the unit is chars or tokens")
-        cut_up = chunking.chunk_chars if unit == "chars" else chunking.chunk_tokens
-        return self.ingest(docs, cut_up(docs.select("document_id", "text"), size, overlap), gleanings, with_claims)
+        if window <= 0 or not 0 <= window_overlap < window:
+            raise ValueError("the window has to be positive, its overlap 0 at least and smaller")
+        docs = cut(readers.envelopes(documents))
+        texts = docs.filter("pages is null").select("document_id", "text", "metadata")
+        if unit == "chars":
+            chunks = chunking.chunk_chars(texts, size, overlap)
+        elif counter is None:
+            chunks = chunking.chunk_tokens(texts, size, overlap)
+        else:
+            meta = texts.select("document_id", "metadata").groupBy("document_id").agg(F.first("metadata", True).alias("metadata"))
+            chunks = chunking.chunk_exact(texts, counter, size, overlap).join(meta, "document_id", "left")
+        windows = chunking.envelope_windows(docs.select("document_id", "metadata", "pages"), window, window - window_overlap)
+        place = ["document_id", "chunk_id", "index", "text", "metadata"]
+        both = chunking.with_metadata(chunks).select(*place).unionByName(chunking.with_metadata(windows).select(*place, "page_start", "page_end"), allowMissingColumns=True)
+        return self.ingest(docs.drop("pages"), both, gleanings, with_claims)
+
+    def results(self, documents: DataFrame) -> DataFrame:
+        """A row for each envelope, as they are: document_id, and how many chunks, entities and relationships of it the store has."""
+        chunks = self._own("chunks").select("document_id", F.col("id").alias("chunk_id"))
+        count = lambda of, what, name: of.groupBy("document_id").agg(F.countDistinct(*what).alias(name))
+        found = chunks.join(self._own("evidence"), "chunk_id")
+        linked = self._own("relationships").select("source_id", "type", "target_id", F.explode("source_chunk_ids").alias("chunk_id")).join(chunks, "chunk_id")
+        out = readers.envelopes(documents).select("document_id")
+        for x in (count(chunks, ["chunk_id"], "chunk_count"), count(found, ["entity_id"], "entity_count"), count(linked, ["source_id", "type", "target_id"], "relationship_count")):
+            out = out.join(x, "document_id", "left")
+        return out.fillna(0)
 
     def build_pages(self, pages: DataFrame, size: int = 2, step: int = 1, **options) -> dict[str, int]:
-        """The same of pages (document_id, page, text), by windows."""
+        """The same of pages as rows (document_id, page, text, and record_id, source, collection where they are), by windows."""
         docs = pages.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
         docs = docs.withColumns({"text_hash": F.sha2("text", 256), "metadata": F.create_map().cast("map<string,string>")})
-        windows = chunking.page_windows(pages, size, step).withColumn("index", F.col("page_start") - 1)
+        named = [c if c in pages.columns else None for c in ("record_id", "collection", "source")]
+        windows = chunking.with_metadata(chunking.page_windows(pages, size, step, "document_id", "page", "text", *named))
         return self.ingest(docs, windows, **options)
 
     def ingest(self, docs: DataFrame, chunks: DataFrame, gleanings: int = 0, with_claims: bool = False) -> dict[str, int]:
         g = F.lit(self.graph)
-        asked = cut(extraction.extract(chunks, self.schema, self.chat, gleanings))  # models aren't asked twice
+        asked = cut(extraction.extract(chunks, self.schema, self.chat, gleanings, self.prompts))  # models aren't asked twice
         extraction.check_errors(asked)
         nodes = extraction.valid_nodes(asked, self.schema.labels(self.spark))
         place = asked.select("chunk_id", "document_id", F.col("index").alias("chunk_index"))
@@ -74,14 +107,14 @@ class Engine:
             rels = rels.join(known.withColumnsRenamed({"node_id": f"{end}_id", "id": f"_{end}"}), ["chunk_id", f"{end}_id"]).drop(f"{end}_id").withColumnRenamed(f"_{end}", f"{end}_id")
         edges = assembly.relationships(rels, self.graph).join(assembly.descriptions(rels, ["source_id", "type", "target_id"]), ["source_id", "type", "target_id"], "left").fillna("", ["description"])
         tables = {
-            "documents": docs.select(g.alias("graph_name"), F.col("document_id").alias("id"), "text_hash", F.try_element_at("metadata", F.lit("title")).alias("title"), "metadata").dropDuplicates(["id"]),
-            "chunks": asked.select(g.alias("graph_name"), F.col("chunk_id").alias("id"), "document_id", "text", "index", *[(F.col(c) if c in asked.columns else F.lit(None).cast("int")).alias(c) for c in ("page_start", "page_end")], F.create_map().cast("map<string,string>").alias("metadata")).dropDuplicates(["id"]),
+            "documents": docs.select(g.alias("graph_name"), F.col("document_id").alias("id"), "text_hash", F.try_element_at("metadata", F.lit("title")).alias("title"), "metadata"),
+            "chunks": asked.select(g.alias("graph_name"), F.col("chunk_id").alias("id"), "document_id", "text", "index", *[(F.col(c) if c in asked.columns else F.lit(None).cast("int")).alias(c) for c in ("page_start", "page_end")], F.col("metadata") if "metadata" in asked.columns else F.create_map().cast("map<string,string>").alias("metadata")),
             "entities": ents, "relationships": edges,
             "evidence": known.select(g.alias("graph_name"), "chunk_id", F.col("id").alias("entity_id")).distinct(),
         }
         if with_claims:
             subjects = nodes.groupBy("chunk_id").agg(F.array_sort(F.collect_set("node_id")).alias("subjects"))
-            said = extraction.call(asked.drop("error").join(subjects, "chunk_id"), extraction.claims_prompt(F.col("subjects"), F.col("text")), self.chat)
+            said = cut(extraction.call(asked.drop("error").join(subjects, "chunk_id"), extraction.claims_prompt(F.col("subjects"), F.col("text"), self.prompts), self.chat))
             items = said.select("document_id", "chunk_id", F.explode(extraction.parse_claims(F.col("content"), F.col("subjects"))).alias("c")).select("document_id", "chunk_id", "c.*")
             tables["claims"] = assembly.claims(items, self.graph)
         return self.store.write(tables)
@@ -124,23 +157,39 @@ class Engine:
         self.store.write({"communities": c.withColumns({"summary": none, "report_text": none, "report_json": none, "report_status": none, "input_fingerprint": none}), "memberships": m, "parents": p})
         return traverse.community_stats(self._own("communities"), self._own("memberships"), self._own("parents"))
 
-    def summarise(self, skip_existing: bool = True) -> int:
-        """Reports of all communities, finest level first; the number that failed. One that has a report of the same
-        context (by fingerprint) is left alone."""
+    def summarise(self, skip_existing: bool = True, max_tokens: int | None = None, repair: bool = True, children: bool = False, concurrency: int | None = None) -> int:
+        """Reports of all communities, finest level first; the number that failed.
+
+        One that has a report of the same context (by fingerprint) is left alone. With max_tokens a context holds the
+        highest ranked edges, then members and claims that fit. An answer that can't be used is sent back once to be
+        mended. With children, a community above the finest level is told by its children's reports, where it has some.
+        concurrency bounds the tasks that ask at once.
+        """
         e, r, m, claims = self._own("entities"), self._own("relationships"), self._own("memberships"), self._claims()
         edges, lone = traverse.ranked_edges(m, e, r, claims), traverse.isolated(m, r)
         own = None if claims is None else m.join(claims.select("entity_id", "id", "claim_type", "description"), "entity_id").select("community_id", "level", "id", "claim_type", "description").distinct()
-        texts = cut(context.render(edges, lone, e, own).join(context.reference_ids(edges, lone, own), ["community_id", "level"]).withColumn("input_fingerprint", F.sha2("text", 256)))
+        told = context.render(edges, lone, e, own) if max_tokens is None else context.pack(edges, lone, e, max_tokens).select("community_id", "level", "text")
+        texts = cut(told.join(context.reference_ids(edges, lone, own), ["community_id", "level"]))
         bad = 0
+        ask = lambda x, prompt: extraction.call(x if concurrency is None else x.repartition(concurrency), prompt, self.chat)
+        parsed = lambda x: x.withColumn("rep", context.parse_report(F.col("content"), F.col("ids"), F.col("community_id"), F.col("level")))
         for level in range((self._own("communities").agg(F.max("level")).first()[0] or 0) + 1):
             old = self._own("communities").filter(F.col("level") == level)
             todo = texts.filter(F.col("level") == level)
+            if children and level:
+                below = context.child_context(traverse.community_children(self._own("communities"), self._own("parents")), max_tokens).withColumnRenamed("text", "below")
+                todo = todo.join(below, ["community_id", "level"], "left").withColumn("text", F.coalesce(F.when(F.col("below") != "", F.col("below")), F.col("text"))).drop("below")
+            todo = todo.withColumn("input_fingerprint", F.sha2("text", 256))
             if skip_existing:
                 done = old.filter("coalesce(summary, '') != ''").select(F.col("id").alias("community_id"), "input_fingerprint")
                 todo = todo.join(done, ["community_id", "input_fingerprint"], "left_anti")
-            asked = extraction.call(todo, context.report_prompt(F.col("community_id"), F.col("level"), F.col("text"), F.col("ids")), self.chat)
-            rep = asked.withColumn("rep", context.parse_report(F.col("content"), F.col("ids"), F.col("community_id"), F.col("level")))
-            made = cut(rep.select(F.lit(self.graph).alias("graph_name"), "level", F.col("community_id").alias("id"), context.report_text(F.col("rep")).alias("report_text"), context.report_json("rep").alias("report_json"), F.when(F.col("rep").isNull(), "failed").otherwise("success").alias("report_status"), "input_fingerprint"))
+            rep = cut(parsed(ask(todo, context.report_prompt(F.col("community_id"), F.col("level"), F.col("text"), F.col("ids"), self.prompts))))
+            if repair:
+                wrong = rep.filter("rep is null and content is not null")
+                prompt = context.repair_prompt(context.report_problems(F.col("_old"), F.col("ids")), F.col("_old"), F.col("ids"), self.prompts)
+                again = parsed(ask(wrong.drop("error", "rep").withColumnRenamed("content", "_old"), prompt)).drop("_old")
+                rep = cut(rep.filter("rep is not null or content is null").unionByName(again))
+            made = cut(rep.select(F.lit(self.graph).alias("graph_name"), "level", F.col("community_id").alias("id"), context.report_text(F.col("rep")).alias("report_text"), context.report_json(F.col("rep")).alias("report_json"), F.when(F.col("rep").isNull(), "failed").otherwise("success").alias("report_status"), "input_fingerprint"))
             made = made.withColumn("report_text", F.when(F.col("report_status") == "success", F.col("report_text"))).withColumn("summary", F.col("report_text"))
             bad += made.filter("report_status = 'failed'").count()
             self.store.write({"communities": made})
@@ -148,19 +197,28 @@ class Engine:
 
     # Search
 
-    def matches(self, query: str, k: int = 10, ratio: int = 2, ranker: str = "naive", alpha: float | None = None) -> DataFrame:
-        """id, score of the entities that answer a query best, by vectors where there are any and by names."""
+    def matches(self, query: str, k: int = 10, ratio: int = 2, ranker: str = "naive", alpha: float | None = None, types: list[str] | None = None) -> DataFrame:
+        """id, score of the entities that answer a query best, by vectors where there are any and by names; of some types only, if given."""
         q = self.spark.createDataFrame([(query,)], "text string").select(F.lit("q").alias("query_id"), "text")
-        names = self.store.table("index_names") or search.postings(self._own("entities"))
-        keyword = search.bm25(names, q, k * ratio)
         e = self._own("entities")
+        if types is not None:
+            e = e.filter(F.col("type").isin(*types))
+        if types is None and self.store.exists("index_names"):
+            keyword = search.bm25(self._own("index_names").drop("graph_name"), q, k * ratio)
+        else:
+            keyword = search.bm25_texts(e, q, k * ratio)
         if self.embedder is None or "embedding" not in e.columns:
             return keyword.filter(F.col("rank") <= k).select("id", "score")
         v = search.unit_vectors(self.spark.createDataFrame([("q", self.embedder.embed(query))], "query_id string, embedding array<double>"))
-        vector = search.vector_search(search.unit_vectors(e.filter("embedding is not null").select("id", "embedding")), v, k * ratio)
-        return search.hybrid(vector, keyword, k, ranker, alpha).select("id", "score")
+        if self.store.exists("index_vectors"):
+            index = self._own("index_vectors")
+            index = index if types is None else index.filter(F.col("type").isin(*types))
+        else:
+            index = search.unit_vectors(e.filter("embedding is not null").select("id", "embedding"))
+        return search.hybrid(search.vector_search(index, v, k * ratio), keyword, k, ranker, alpha).select("id", "score")
 
-    def _local(self, query: str, k: int, drift: bool, **options) -> tuple[DataFrame, list, str, list[dict]]:
+    def _local(self, query: str, k: int, drift: bool, metadata_keys: list[str] | None = None, **options) -> tuple[list, str, list[dict], dict]:
+        began = time.time()
         found = cut(self.matches(query, k, **options))
         args = (found, self._own("entities"), self._own("relationships"), self._own("evidence"), self._own("chunks"))
         x = traverse.drift_context(*args, self._own("memberships"), self._own("communities"), self._claims()) if drift else traverse.local_context(*args, self._claims())
@@ -168,23 +226,33 @@ class Engine:
         ids = list(dict.fromkeys(c for r in rows for c in r["source_chunk_ids"]))
         cited = traverse.citations(self.spark.createDataFrame([(c,) for c in ids], "chunk_id string"), self._own("chunks"), self._own("documents")).collect() if ids else []
         at = {c: i for i, c in enumerate(ids)}
-        return found, rows, formatted(rows, 2 if drift else 3), [r.asDict(recursive=True) for r in sorted(cited, key=lambda r: at[r["chunk_id"]])]
+        cited = [r.asDict(recursive=True) for r in sorted(cited, key=lambda r: at[r["chunk_id"]])]
+        stats = {"retrieved": len(rows), "source_chunks": len(ids), "citations": len(cited), "documents": len({c["document_id"] for c in cited}), "relationships": sum(len(r["relationships"]) for r in rows), "retrieval_ms": int((time.time() - began) * 1000)}
+        return rows, formatted(rows, cited, metadata_keys, drift), cited, stats
+
+    def _answer(self, query: str, text: str, synthesize: bool) -> str | None:
+        return self.chat.invoke(f"Answer from the context.\n\nQuestion: {query}\n\nContext:\n{text}") if synthesize else None
 
     def local(self, query: str, k: int = 10, synthesize: bool = True, **options) -> Answer:
-        _, _, text, cited = self._local(query, k, False, **options)
-        return Answer(query, "local", self.chat.invoke(f"Answer from the context.\n\nQuestion: {query}\n\nContext:\n{text}") if synthesize else None, text, cited)
+        """options: those of matches(), and metadata_keys, the keys of citations' metadata that the context shows (all without it)."""
+        _, text, cited, stats = self._local(query, k, False, **options)
+        return Answer(query, "local", self._answer(query, text, synthesize), text, cited, stats | {"context_tokens": -(-len(text) // 4)})
 
     def drift(self, query: str, k: int = 10, level: int | str | None = 0, community_k: int = 3, synthesize: bool = True, **options) -> Answer:
         at = communities.level_of(self._own("communities"), level)
-        _, rows, text, cited = self._local(query, k, True, **options)
+        rows, text, cited, stats = self._local(query, k, True, **options)
         keys = sorted({(c["level"], c["id"]) for r in rows for c in r["communities"] or [] if at is None or c["level"] == at})
-        parts = [text]
+        parts, used, bridges = [], [], []
         if keys:
             df = self.spark.createDataFrame([(i, n) for n, i in keys], "id string, level int")
-            parts.insert(0, "\n\n".join(r["summary"] for r in traverse.community_summaries(df, self._own("communities"), community_k).collect()))
-            parts.append("\n".join(f"{r['name']}: {', '.join(r['rels'])}" for r in traverse.bridging(df, self._own("memberships"), self._own("entities"), self._own("relationships")).collect()))
-        full = "\n\n".join(p for p in parts if p)
-        return Answer(query, "drift", self.chat.invoke(f"Answer from the context.\n\nQuestion: {query}\n\nContext:\n{full}") if synthesize else None, full, cited, {"communities": len(keys)})
+            used = traverse.community_summaries(df, self._own("communities"), community_k).collect()
+            bridges = traverse.bridging(df, self._own("memberships"), self._own("entities"), self._own("relationships")).collect()
+        for head, body in (("Communities", "\n\n".join(r["summary"] for r in used)), ("Findings", text), ("Between them", "\n".join(f"  {r['name']}: {', '.join(r['rels'])}" for r in bridges))):
+            if body:
+                parts.append(f"{head}:\n{body}")
+        full = "\n\n".join(parts)
+        stats |= {"communities": len(keys), "community_summaries": len(used), "bridging_entities": len(bridges), "level": at, "context_tokens": -(-len(full) // 4)}
+        return Answer(query, "drift", self._answer(query, full, synthesize), full, cited, stats)
 
     def globally(self, query: str, level: int | str | None = "coarsest", budget: int = 8000, seed: int | None = 42, concurrency: int = 5, most: int | None = None) -> Answer:
         began = time.time()
@@ -197,7 +265,7 @@ class Engine:
             return Answer(query, "global", "There are no reports at this level.", "")
         reports = reports.join(self.spark.createDataFrame(list(order.items()), "id string, place int"), "id")
         spare = budget - -(-len(mapreduce.MAP_PROMPT.format(query=query, text="")) // 4)
-        made = mapreduce.batches(reports, spare if spare > 0 else 1000, "place")
+        made = cut(mapreduce.batches(reports, spare if spare > 0 else 1000, "place"))
         partials = cut(mapreduce.map_phase(made, query, self.chat, concurrency))
         good = cut(mapreduce.scored(partials, most))
         if not good.count():
@@ -214,7 +282,11 @@ class Engine:
         cited = [r.asDict(recursive=True) for r in traverse.citations(chunks, self._own("chunks"), self._own("documents")).orderBy("document_id", "chunk_id").collect()]
         parts = mapreduce.reduce_texts(good, budget - -(-len(mapreduce.REDUCE_PROMPT.format(query=query, text="")) // 4)).orderBy("place").collect()
         text = "\n\n".join(r["text"] for r in parts)
-        stats = {"level": at, "reports": len(order), "batches": partials.count(), "errors": partials.filter("error is not null").count(), "scored": good.count(), "reduced": len(parts), "elapsed_ms": int((time.time() - began) * 1000)}
+        n = partials.agg(F.count("*").alias("batches"), F.count("error").alias("errors"), F.count_if(F.expr("error is null and helpfulness = 0")).alias("unhelpful")).first()
+        stats = {
+            "level": at, "reports": len(order), **n.asDict(), "scored": good.count(), "reduced": len(parts), "used_reports": used.count(), "references": every.count(), "citations": len(cited),
+            "seed": seed, "budget": budget, "map_tokens": made.agg(F.sum("tokens")).first()[0], "context_tokens": -(-len(text) // 4), "elapsed_ms": int((time.time() - began) * 1000),
+        }
         return Answer(query, "global", self.chat.invoke(mapreduce.REDUCE_PROMPT.format(query=query, text=text)), text, cited, stats)
 
     def search(self, query: str, mode: str = "local", **options) -> Answer:
@@ -224,20 +296,26 @@ class Engine:
         return modes[mode](query, **options)
 
     def counts(self) -> dict:
-        row = traverse.graph_counts(self._own("entities"), self._own("relationships"), self._own("chunks"), self._own("evidence")).first()
-        return row.asDict()
+        """Entities, relationships, loops, chunks, evidence, and where communities were built those, the ones with a summary and reports that failed."""
+        row = traverse.graph_counts(self._own("entities"), self._own("relationships"), self._own("chunks"), self._own("evidence"))
+        if self.store.exists("communities"):
+            row = row.crossJoin(traverse.community_counts(self._own("communities")))
+        return row.first().asDict()
 
     def tokens(self) -> int:
         return self._own("chunks").agg(F.sum(token_count(F.col("text")))).first()[0] or 0
 
 
-def formatted(rows: list, sources: int = 3, separator: str = "\n\n---\n\n") -> str:
-    """Context rows as text: title, connections, evidence."""
+def formatted(rows: list, cited: list[dict] = (), keys: list[str] | None = None, drift: bool = False) -> str:
+    """Context rows as text: title, connections, evidence (3 texts, 2 for drift) and the metadata of what is cited, as JSON."""
+    said = {c["chunk_id"]: {k: v for k, v in (c["metadata"] or {}).items() if keys is None or k in keys} for c in cited}
     out = []
     for r in rows:
         part = [f"Finding: {r['title']}"]
-        for name, values in (("Connections", r["relationships"]), ("Evidence", r["source_text"][:sources])):
+        about = [f"{c}: {json.dumps(said[c], sort_keys=True)}" for c in r["source_chunk_ids"] if said.get(c)]
+        head, indent = ("  ", "    ") if drift else ("", "  ")
+        for name, values in (("Connections", r["relationships"]), ("Evidence", r["source_text"][: 2 if drift else 3]), ("Citation metadata", about)):
             if values:
-                part.append(f"{name}:\n  " + "\n  ".join(values))
+                part.append(f"{head}{name}:\n{indent}" + f"\n{indent}".join(values))
         out.append("\n".join(part))
-    return separator.join(out)
+    return ("\n\n" if drift else "\n\n---\n\n").join(out)

@@ -2,8 +2,9 @@
 
 At each level nodes move, all at once but by halves drawn by hash, to the neighbouring community of the greatest gain;
 communities that fell apart are split into connected parts; parts become the nodes of the next level. The same steps
-run in numpy, a graph a task, up to LOCAL_EDGES edges in all, and as DataFrame plans beyond. Ties go to the lesser id
-and the halves depend on a seed, so equal input gives an equal result.
+run in numpy, a graph a task, where no graph has more than LOCAL_EDGES edges, and as DataFrame plans beyond, with the same
+result: gains are rounded alike, ties go to the lesser id, and a half is a bit of the hash of a node's name (of its least
+member's, for a community) that the seed and the round choose.
 
 Entities without edges are in no community. Loops and edges with a null end are left out, null weights count 1.
 """
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.lineage import cut
+from tessella.sources.lineage import cut, cut_bare, ship
 
 LOCAL_EDGES = 2_000_000
 ROUNDS = 24
@@ -33,15 +34,12 @@ def project(relationships: DataFrame, types: list[str] | None = None, weight: st
     return x.groupBy("graph_name", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum(w).alias("w"))
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+def _bit(seed: int, r: int) -> int:
+    """The bit of nodes' hashes that halves them in a round."""
+    return (seed + r) % 64
 
 
-def _move(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray, gamma: float, tolerance: float, seed: int) -> np.ndarray:
+def _move(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray, gamma: float, tolerance: float, seed: int, hashes: np.ndarray) -> np.ndarray:
     """Communities of the nodes 0 .. n - 1."""
     src, dst, ww = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
     k = np.bincount(src, ww, n) + 2 * loop
@@ -53,14 +51,14 @@ def _move(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray,
         key, at = np.unique(src * n + own[dst], return_inverse=True)
         node, to = key // n, key % n
         link = np.bincount(at, ww)
-        gain = link - gamma * k[node] * (size[to] - np.where(own[node] == to, k[node], 0)) / total
-        stay = -gamma * k * (size[own] - k) / total
+        gain = np.round(link - gamma * k[node] * (size[to] - np.where(own[node] == to, k[node], 0)) / total, 12)
+        stay = np.round(-gamma * k * (size[own] - k) / total, 12)
         same = own[node] == to
         stay[node[same]] = gain[same]
-        order = np.lexsort((to, -np.round(gain, 12), node))
+        order = np.lexsort((to, -gain, node))
         first = order[np.flatnonzero(np.diff(node[order], prepend=-1))]
         better = gain[first] > stay[node[first]] + tolerance * 1e-3
-        half = (_mix(node[first], seed + r) & np.uint64(1)).astype(bool)
+        half = ((hashes[node[first]] >> _bit(seed, r)) & 1).astype(bool)
         go = first[better & half]
         quiet = 0 if better.any() else 1
         own = own.copy()
@@ -82,15 +80,21 @@ def _move(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, loop: np.ndarray,
         label = new
 
 
-def hierarchy(a: np.ndarray, b: np.ndarray, w: np.ndarray, max_levels: int = 3, gamma: float = 1.0, tolerance: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Nodes, sorted, and for each level, finest first, the place of the least node of each one's community."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+def hierarchy(a: np.ndarray, b: np.ndarray, w: np.ndarray, ha: np.ndarray, hb: np.ndarray, max_levels: int = 3, gamma: float = 1.0, tolerance: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Nodes, sorted, and for each level, finest first, the place of the least node of each one's community. ha, hb: 64-bit
+    hashes of the names a, b, which tell them apart."""
+    hashes, one, at = np.unique(np.concatenate([ha, hb]), return_index=True, return_inverse=True)
+    nodes = np.concatenate([a, b])[one].astype(str)
+    by = np.argsort(nodes)
+    nodes, hashes, place = nodes[by], hashes[by], np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    at = place[at]
     x, y, w = at[: len(a)], at[len(a) :], np.asarray(w, np.float64)
     loop = np.zeros(len(nodes))
-    top = np.arange(len(nodes))
+    top, own_hash = np.arange(len(nodes)), hashes
     levels: list[np.ndarray] = []
     for _ in range(max_levels):
-        label = _move(len(loop), x, y, w, loop, gamma, tolerance, seed)
+        label = _move(len(loop), x, y, w, loop, gamma, tolerance, seed, own_hash)
         kept, small = np.unique(label, return_inverse=True)
         if levels and len(kept) == len(label):
             break
@@ -98,6 +102,7 @@ def hierarchy(a: np.ndarray, b: np.ndarray, w: np.ndarray, max_levels: int = 3,
         least = np.full(len(kept), len(nodes))
         np.minimum.at(least, top, np.arange(len(nodes)))
         levels.append(least[top])
+        own_hash = hashes[least]
         inner = small[x] == small[y]
         loop = np.bincount(small, loop, len(kept)) + np.bincount(small[x[inner]], w[inner], len(kept))
         p, q = np.minimum(small[x], small[y])[~inner], np.maximum(small[x], small[y])[~inner]
@@ -112,31 +117,33 @@ def hierarchy(a: np.ndarray, b: np.ndarray, w: np.ndarray, max_levels: int = 3,
 def detect(edges: DataFrame, max_levels: int = 3, gamma: float = 1.0, tolerance: float = 1e-4, seed: int = 42, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Memberships (graph_name, entity_id, level, community_id) of projected edges; level 0 is the finest. A community is
     named by its level and its least member."""
-    n = edges.count()
+    ship(edges.sparkSession)
+    edges = cut(edges.select("graph_name", "a", "b", "w"))
+    n = edges.groupBy("graph_name").count().agg(F.max("count")).first()[0]
     if not n:
         raise ValueError("communities need edges")
     if n > local_edges:
         return _distributed(edges, max_levels, gamma, tolerance, seed)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, levels = hierarchy(pdf["a"].to_numpy(str), pdf["b"].to_numpy(str), pdf["w"].to_numpy(), max_levels, gamma, tolerance, seed)
+        nodes, levels = hierarchy(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["w"].to_numpy(), pdf["ha"].to_numpy(), pdf["hb"].to_numpy(), max_levels, gamma, tolerance, seed)
         out = [pd.DataFrame({"entity_id": nodes, "level": i, "community_id": np.char.add(f"{i}:", nodes[at])}) for i, at in enumerate(levels)]
         x = pd.concat(out)
         x.insert(0, "graph_name", pdf["graph_name"].iloc[0])
         return x
 
-    return edges.groupBy("graph_name").applyInPandas(run, PATHS)
+    return edges.withColumns({"ha": F.xxhash64("a"), "hb": F.xxhash64("b")}).groupBy("graph_name").applyInPandas(run, PATHS)
 
 
 def _distributed(edges: DataFrame, max_levels: int, gamma: float, tolerance: float, seed: int) -> DataFrame:
     g = "graph_name"
-    current = cut(edges.select(g, "a", "b", "w"))
-    loops = cut(current.select(g, F.col("a").alias("n"), F.lit(0.0).alias("loop")).union(current.select(g, "b", F.lit(0.0))).distinct())
+    current = edges
+    loops = cut_bare(current.select(g, F.col("a").alias("n"), F.lit(0.0).alias("loop")).union(current.select(g, "b", F.lit(0.0))).distinct())
     paths, out = None, None
     for level in range(max_levels):
         both = current.select(g, F.col("a").alias("n"), F.col("b").alias("o"), "w").union(current.select(g, "b", "a", "w"))
         k = both.groupBy(g, "n").agg(F.sum("w").alias("k0"))
-        state = cut(loops.join(k, [g, "n"], "left").select(g, "n", (F.coalesce("k0", F.lit(0.0)) + 2 * F.col("loop")).alias("k"), F.col("n").alias("c")))
+        state = cut_bare(loops.join(k, [g, "n"], "left").select(g, "n", (F.coalesce("k0", F.lit(0.0)) + 2 * F.col("loop")).alias("k"), F.col("n").alias("c")))
         total = state.groupBy(g).agg(F.sum("k").alias("total"))
         for r in range(ROUNDS):
             size = state.groupBy(g, "c").agg(F.sum("k").alias("size"))
@@ -146,21 +153,21 @@ def _distributed(edges: DataFrame, max_levels: int, gamma: float, tolerance: flo
             gain = F.round(F.col("link") - gamma * F.col("k") * (F.col("size") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / F.col("total"), 12)
             best = x.groupBy(g, "n", "k", "c").agg(F.max(F.when(F.col("to") == F.col("c"), gain)).alias("stay"), F.min(F.struct((-gain).alias("l"), F.col("to"))).alias("b"))
             better = -F.col("b.l") > F.col("stay") + tolerance * 1e-3
-            new = cut(best.select(g, "n", "k", F.when(better & (F.pmod(F.xxhash64("n", F.lit(seed + r)), F.lit(2)) == 0), F.col("b.to")).otherwise(F.col("c")).alias("c"), better.alias("better")))
+            new = cut_bare(best.select(g, "n", "k", F.when(better & (F.shiftrightunsigned(F.xxhash64("n"), _bit(seed, r)).bitwiseAND(F.lit(1)) == 1), F.col("b.to")).otherwise(F.col("c")).alias("c"), better.alias("better")))
             state = new.drop("better")
             if not new.filter("better").limit(1).count():
                 break
         inside = current.join(state.select(g, F.col("n").alias("a"), F.col("c").alias("ca")), [g, "a"]).join(state.select(g, F.col("n").alias("b"), F.col("c").alias("cb")), [g, "b"]).filter("ca = cb")
         label = state.select(g, "n", F.col("n").alias("l"))
-        pairs = cut(inside.select(g, F.col("a").alias("n"), F.col("b").alias("o")).union(inside.select(g, "b", "a")))
+        pairs = cut_bare(inside.select(g, F.col("a").alias("n"), F.col("b").alias("o")).union(inside.select(g, "b", "a")))
         while True:
             low = pairs.join(label.select(g, F.col("n").alias("o"), F.col("l").alias("lo")), [g, "o"]).groupBy(g, "n").agg(F.min("lo").alias("lo"))
-            new = cut(label.join(low, [g, "n"], "left").select(g, "n", F.least("l", "lo").alias("l"), (F.col("lo") < F.col("l")).alias("changed")))
+            new = cut_bare(label.join(low, [g, "n"], "left").select(g, "n", F.least("l", "lo").alias("l"), (F.col("lo") < F.col("l")).alias("changed")))
             label = new.drop("changed")
             if not new.filter("changed").limit(1).count():
                 break
         paths = label.select(g, F.col("n").alias("entity_id"), F.col("l").alias("c")) if paths is None else paths.join(label.select(g, F.col("n").alias("c"), "l"), [g, "c"]).select(g, "entity_id", F.col("l").alias("c"))
-        paths = cut(paths)
+        paths = cut_bare(paths)
         rows = paths.select(g, "entity_id", F.lit(level).alias("level"), F.concat(F.lit(f"{level}:"), "c").alias("community_id"))
         if out is not None and label.filter("n != l").limit(1).count() == 0:
             break
@@ -168,8 +175,8 @@ def _distributed(edges: DataFrame, max_levels: int, gamma: float, tolerance: flo
         at = lambda c, to: label.select(g, F.col("n").alias(c), F.col("l").alias(to))
         moved = current.join(at("a", "p"), [g, "a"]).join(at("b", "q"), [g, "b"])
         inner = moved.filter("p = q").groupBy(g, F.col("p").alias("l")).agg(F.sum("w").alias("inner"))
-        loops = cut(loops.join(at("n", "l"), [g, "n"]).groupBy(g, "l").agg(F.sum("loop").alias("loop")).join(inner, [g, "l"], "left").select(g, F.col("l").alias("n"), (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop")))
-        current = cut(moved.filter("p != q").groupBy(g, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w")))
+        loops = cut_bare(loops.join(at("n", "l"), [g, "n"]).groupBy(g, "l").agg(F.sum("loop").alias("loop")).join(inner, [g, "l"], "left").select(g, F.col("l").alias("n"), (F.col("loop") + F.coalesce("inner", F.lit(0.0))).alias("loop")))
+        current = cut_bare(moved.filter("p != q").groupBy(g, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w")))
         if not current.limit(1).count():
             break
     return out

@@ -5,16 +5,14 @@ Edges are those of traverse.ranked_edges(), members without edges those of trave
 
 from __future__ import annotations
 
-import json
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessella.functions.text import CHARS_PER_TOKEN
-from tessella.operators.extraction import unfenced
+from tessella.operators.extraction import Prompts, fill, unfenced
 
 REPORT = "struct<title:string,summary:string,rating:string,rating_explanation:string,findings:array<struct<description:string,rank:double,references:array<struct<target_id:string,target_type:string>>>>>"
 REFERENCE_TYPES = ("entity", "relationship", "claim")
@@ -101,9 +99,17 @@ def pack(edges: DataFrame, lone: DataFrame, entities: DataFrame, max_tokens: int
     return rows.groupBy("community_id", "level").applyInPandas(fold, PACKED)
 
 
-def pack_items(items: DataFrame, budget: int, by: str, order: str, tokens: str) -> DataFrame:
-    """items with `included`: in order (ties by the other columns), each that still fits the budget of its group; a fold in the JVM."""
+def pack_items(items: DataFrame, budget: int, by: str, order: str, tokens: str, text: str | None = None, ratio: float = CHARS_PER_TOKEN) -> DataFrame:
+    """items with `included`: in order (ties by the other columns), each that still fits the budget of its group; a fold in the JVM.
+
+    With a text column, one that doesn't fit is cut to what is left of the budget, if anything is, and counts in `truncated`;
+    its tokens are then those of the cut text.
+    """
+    if budget < 0:
+        raise ValueError("the budget is 0 at least")
     rest = [c for c in items.columns if c not in (by, order, tokens)]
+    if text is not None:
+        return _pack_texts(items, budget, by, order, tokens, text, ratio)
     each = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(tokens), *rest)))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("keep"))
 
@@ -116,6 +122,23 @@ def pack_items(items: DataFrame, budget: int, by: str, order: str, tokens: str)
     return kept.select(by, F.explode(F.arrays_zip("x", "k")).alias("z")).select(by, "z.x.*", F.col("z.k").alias("included"))
 
 
+def _pack_texts(items: DataFrame, budget: int, by: str, order: str, tokens: str, text: str, ratio: float) -> DataFrame:
+    rest = [c for c in items.columns if c not in (by, order, tokens, text)]
+    each = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(tokens).cast("bigint").alias(tokens), F.col(text), *rest)))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("given"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = budget - acc["used"]
+        # What is cut takes all that is left, or what its characters make.
+        given = F.when(x[tokens] <= left, x[tokens]).otherwise(F.least(left, F.ceil(F.length(x[text]) / F.lit(float(ratio)))))
+        return F.struct((acc["used"] + given).alias("used"), F.concat(acc["given"], F.array(given)).alias("given"))
+
+    kept = items.groupBy(by).agg(each.alias("_x")).select(by, "_x", F.aggregate("_x", start, step)["given"].alias("_y"))
+    z = kept.select(by, F.explode(F.arrays_zip("_x", "_y")).alias("_z")).select(by, "_z._x.*", F.col("_z._y").alias("_g"))
+    whole = F.col("_g") >= F.col(tokens)
+    return z.select(by, order, F.when(whole, F.col(tokens)).otherwise(F.col("_g")).alias(tokens), F.when(whole, F.col(text)).otherwise(F.substring(F.col(text), F.lit(1), F.floor(F.col("_g") * ratio).cast("int"))).alias(text), *rest, (whole | (F.col("_g") > 0)).alias("included"), (~whole & (F.col("_g") > 0)).alias("truncated"))
+
+
 def reference_ids(edges: DataFrame, lone: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """community_id, level, ids: what a report may refer to, entities, edges (source:TYPE:target), claims."""
     by = ["community_id", "level"]
@@ -126,8 +149,24 @@ def reference_ids(edges: DataFrame, lone: DataFrame, claims: DataFrame | None =
     return x.groupBy(*by).agg(F.transform(F.array_sort(F.collect_set("r")), lambda r: r["id"]).alias("ids"))
 
 
-def report_prompt(community: Column, level: Column, context: Column, ids: Column) -> Column:
-    return F.concat(F.lit("Report on community "), community, F.lit(" (level "), level.cast("string"), F.lit(").\n\n"), context, F.lit("\n\nIds that findings may refer to:\n"), F.array_join(ids, "\n"), F.lit("\n\nAnswer as JSON with title, summary, rating, rating_explanation and findings."))
+def report_prompt(community: Column, level: Column, context: Column, ids: Column, prompts: Prompts = Prompts()) -> Column:
+    return fill(prompts.report, community=community, level=level.cast("string"), context=context, ids=F.array_join(ids, "\n"))
+
+
+def repair_prompt(problems: Column, content: Column, ids: Column, prompts: Prompts = Prompts()) -> Column:
+    return fill(prompts.repair, problems=problems, content=content, ids=F.array_join(ids, "\n"))
+
+
+def report_problems(content: Column, ids: Column) -> Column:
+    """What keeps an answer from being a report, in words; empty for one that is."""
+    x = F.from_json(unfenced(content), REPORT)
+    missing = lambda c: F.coalesce(x[c], F.lit("")) == ""
+    allowed = F.exists(F.coalesce(F.flatten(F.transform(x["findings"], lambda f: F.when(f["description"] != "", f["references"]))), F.array()), lambda r: r["target_type"].isin(*REFERENCE_TYPES) & F.array_contains(ids, r["target_id"]))
+    said = F.array(
+        F.when(missing("title") & missing("summary") & x["findings"].isNull(), "it isn't a JSON object of the form asked for"), F.when(missing("title"), "it has no title"), F.when(missing("summary"), "it has no summary"),
+        F.when(x["rating"].try_cast("double").isNull(), "its rating isn't a number"), F.when(~F.coalesce(allowed, F.lit(False)), "no finding has a description and a reference to one of the ids"),
+    )
+    return F.array_join(F.filter(said, lambda s: s.isNotNull()), "; ")
 
 
 def parse_report(content: Column, ids: Column, community: Column, level: Column) -> Column:
@@ -151,15 +190,23 @@ def report_text(report: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("# "), report["title"]), report["summary"], F.array_join(F.transform(order, lambda x: x["line"]), "\n"))
 
 
-@F.udf(StringType())
-def report_json(report) -> str | None:
-    """JSON with sorted keys and an indent of 2. Reports are few; a row at a time does."""
-    return None if report is None else json.dumps(report.asDict(recursive=True), sort_keys=True, indent=2)
+def report_json(report: Column) -> Column:
+    """JSON of a report, keys in order, nulls left out; null for none."""
+    by_name = F.struct(
+        F.transform(report["findings"], lambda f: F.struct(f["description"].alias("description"), f["id"].alias("id"), f["rank"].alias("rank"), F.transform(f["references"], lambda r: F.struct(r["target_id"].alias("target_id"), r["target_type"].alias("target_type"))).alias("references"))).alias("findings"),
+        *[report[c].alias(c) for c in ("id", "rating", "rating_explanation", "summary", "title")],
+    )
+    return F.when(report.isNotNull(), F.to_json(by_name))
 
 
-def child_context(children: DataFrame) -> DataFrame:
-    """community_id, level, text of traverse.community_children(): the children's summaries by id, parted by blank lines."""
-    return children.groupBy(F.col("parent_id").alias("community_id"), F.col("parent_level").alias("level")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_id", "summary"))), lambda x: x["summary"]), "\n\n").alias("text"))
+def child_context(children: DataFrame, max_tokens: int | None = None, ratio: float = CHARS_PER_TOKEN) -> DataFrame:
+    """community_id, level, text of traverse.community_children(): the children's summaries by id, each under its name,
+    parted by blank lines; with a budget those that fit it in that order, the first that doesn't cut to what is left."""
+    head = F.concat(F.lit("Community "), "child_id", F.lit(" (level "), F.col("level").cast("string"), F.lit("):\n"), "summary")
+    x = children.select(F.struct(F.col("parent_id").alias("id"), F.col("parent_level").alias("level")).alias("at"), "child_id", head.alias("text"))
+    if max_tokens is not None:
+        x = pack_items(x.withColumn("n", F.ceil(F.length("text") / F.lit(float(ratio)))), max_tokens, "at", "child_id", "n", "text", ratio).filter("included")
+    return x.groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_id", "text"))), lambda x: x["text"]), "\n\n").alias("text")).select(F.col("at.id").alias("community_id"), F.col("at.level").alias("level"), "text")
 
 
 def json_references(report_json_: Column) -> Column:

@@ -59,12 +59,30 @@ def build_schema(nodes: list, relationships: list[str] = (), patterns: list = ()
     return Schema(tuple(made), tuple(relationships), tuple(tuple(p) for p in patterns))
 
 
-def extraction_prompt(schema: Schema, text: Column) -> Column:
-    return F.concat(F.lit("Give the entities and relationships of the text as JSON with nodes and relationships.\n" + schema.text() + "\n\nText:\n"), text)
+@dataclass(frozen=True)
+class Prompts:
+    """Templates of what models are asked; names in braces are filled in, other braces stay."""
+
+    extract: str = "Give the entities and relationships of the text as JSON with nodes and relationships.\n{schema}\n\nText:\n{text}"
+    assess: str = "{prompt}\n\nFound: {found}\nIs anything missing? Answer yes or no."
+    more: str = "{prompt}\n\nFound: {found}\nGive what is missing."
+    claims: str = "Give the claims about these subjects as JSON with claims: {subjects}\n\nText:\n{text}"
+    report: str = "Report on community {community} (level {level}).\n\n{context}\n\nIds that findings may refer to:\n{ids}\n\nAnswer as JSON with title, summary, rating, rating_explanation and findings."
+    repair: str = "The report below can't be used: {problems}.\n\n{content}\n\nIds that findings may refer to:\n{ids}\n\nAnswer with the whole report again, as JSON with title, summary, rating, rating_explanation and findings."
+
+
+def fill(template: str, **columns: Column) -> Column:
+    """A template with columns in the place of their names in braces."""
+    parts = re.split("(" + "|".join(re.escape("{" + k + "}") for k in columns) + ")", template)
+    return F.concat(*[columns[p[1:-1]] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def extraction_prompt(schema: Schema, text: Column, prompts: Prompts = Prompts()) -> Column:
+    return fill(prompts.extract, schema=F.lit(schema.text()), text=text)
 
 
-def claims_prompt(subjects: Column, text: Column) -> Column:
-    return F.concat(F.lit("Give the claims about these subjects as JSON with claims: "), F.array_join(subjects, ", "), F.lit("\n\nText:\n"), text)
+def claims_prompt(subjects: Column, text: Column, prompts: Prompts = Prompts()) -> Column:
+    return fill(prompts.claims, subjects=F.array_join(subjects, ", "), text=text)
 
 
 def call(df: DataFrame, prompt: Column, model, into: str = "content") -> DataFrame:
@@ -101,10 +119,9 @@ def parse_items(content: Column) -> Column:
     return F.struct(nodes.alias("nodes"), rels.alias("relationships"))
 
 
-def parse_assessment(content: Column) -> Column:
-    """Does the model want another round?"""
-    x = F.lower(F.trim(F.coalesce(content, F.lit(""))))
-    return x.startswith("yes") | F.substring(x, 1, 30).contains("yes")
+def wants_more(content: str | None) -> bool:
+    """Does the model want another round? A yes among its first 30 characters says so."""
+    return "yes" in (content or "").strip().lower()[:30]
 
 
 def parse_claims(content: Column, subjects: Column) -> Column:
@@ -120,8 +137,8 @@ def parse_claims(content: Column, subjects: Column) -> Column:
 class Gleaning:
     """A model that asks another whether it missed anything, and merges what it adds: new nodes and relationships only."""
 
-    def __init__(self, model, rounds: int):
-        self.model, self.rounds = model, rounds
+    def __init__(self, model, rounds: int, prompts: Prompts = Prompts()):
+        self.model, self.rounds, self.prompts = model, rounds, prompts
 
     @staticmethod
     def _parse(content: str) -> dict:
@@ -137,10 +154,10 @@ class Gleaning:
         nodes, rels = list(x.get("nodes") or []), list(x.get("relationships") or [])
         key = lambda r: (r.get("source_id"), r.get("type"), r.get("target_id"))
         for _ in range(self.rounds):
-            said = self.model.invoke(f"{prompt}\n\nFound: {json.dumps({'nodes': nodes, 'relationships': rels})}\nIs anything missing? Answer yes or no.").strip().lower()
-            if not said.startswith("yes") and "yes" not in said[:30]:
+            ask = lambda t: self.model.invoke(t.replace("{found}", json.dumps({"nodes": nodes, "relationships": rels})).replace("{prompt}", prompt))
+            if not wants_more(ask(self.prompts.assess)):
                 break
-            more = self._parse(self.model.invoke(f"{prompt}\n\nFound: {json.dumps({'nodes': nodes, 'relationships': rels})}\nGive what is missing."))
+            more = self._parse(ask(self.prompts.more))
             ids, keys, before = {n.get("id") for n in nodes}, {key(r) for r in rels}, len(nodes) + len(rels)
             for n in more.get("nodes") or []:
                 if n.get("id") not in ids:
@@ -155,9 +172,9 @@ class Gleaning:
         return json.dumps({"nodes": nodes, "relationships": rels})
 
 
-def extract(chunks: DataFrame, schema: Schema, model, gleanings: int = 0) -> DataFrame:
+def extract(chunks: DataFrame, schema: Schema, model, gleanings: int = 0, prompts: Prompts = Prompts()) -> DataFrame:
     """chunks with `nodes`, `relationships` and `error`; the answers are of one call a chunk, or of several with gleanings."""
-    asked = call(chunks, extraction_prompt(schema, F.col("text")), Gleaning(model, gleanings) if gleanings else model)
+    asked = call(chunks, extraction_prompt(schema, F.col("text"), prompts), Gleaning(model, gleanings, prompts) if gleanings else model)
     return asked.withColumn("_p", parse_items(F.col("content"))).select(*chunks.columns, F.col("_p.nodes").alias("nodes"), F.col("_p.relationships").alias("relationships"), "error")
 
 

@@ -7,12 +7,21 @@ Null and zero vectors and empty queries have no hits; ties go to the lesser id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from tessella.functions.text import words
+from tessella.sources.lineage import ship
 
 K1, B = 1.2, 0.75
+#: Bytes of queries' vectors that go to all tasks at once; words of queries that are broadcast at most.
+QUERY_BYTES, ASKED = 1 << 25, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,24 +42,101 @@ def top(df: DataFrame, k: int, by: str = "query_id", score: str = "score", id: s
 
 
 def vector_search(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score (cosine), rank; index and queries (query_id, vector) have unit vectors. Exact."""
-    q = queries.select("query_id", F.col(vector).alias("_q"))
-    x = index.select(F.col(id).alias("id"), F.col(vector).alias("_v")).crossJoin(q).filter("size(_v) = size(_q)")
-    return top(x.select("query_id", "id", dot(F.col("_v"), F.col("_q")).alias("score")), k)
+    """query_id, id, score (cosine), rank; index and queries (query_id, vector) have unit vectors. Exact.
+
+    Queries go in blocks of QUERY_BYTES; each block is a matrix that every task holds, so that the index is read in batches
+    where it lies and a task passes on only the k best of each query. Vectors of another length than the query's don't count.
+    """
+    if k <= 0:
+        raise ValueError("k has to be positive")
+    spark = index.sparkSession
+    ship(spark)
+    kind, of = index.schema[id].dataType, queries.schema["query_id"].dataType
+    q = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    total = q.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    blocks = -(-total // QUERY_BYTES)
+    x = index.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    schema = StructType().add("query", IntegerType()).add("id", kind).add("score", DoubleType())
+    out = None
+    for b in range(blocks):
+        t = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b)).toArrow()
+        size = pc.list_value_length(t.column("v")).to_numpy()
+        by = {int(d): (np.flatnonzero(size == d), np.array(t.column("v").filter(pa.array(size == d)).combine_chunks().flatten()).reshape(-1, d)) for d in np.unique(size) if d}
+        found = x.mapInArrow(lambda batches, by=by: _best(batches, by, k), schema)
+        names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(t.num_rows, dtype=np.int32)), "query_id": t.column("query_id")}), StructType().add("query", IntegerType()).add("query_id", of))
+        part = found.join(F.broadcast(names), "query").select("query_id", "id", "score")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], StructType().add("query_id", of).add("id", kind).add("score", DoubleType()))
+    return top(out, k)
+
+
+def _best(batches: Iterator[pa.RecordBatch], by: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a partition for each query; ties go to the lesser id, so what ties with the k-th stays until then."""
+    held: dict[int, tuple[list, np.ndarray]] = {}
+    for batch in batches:
+        size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for d, (numbers, matrix) in by.items():
+            at = np.flatnonzero(size == d)
+            if not len(at):
+                continue
+            rows = np.asarray(batch.column(1).take(pa.array(at)).flatten(), np.float64).reshape(-1, d)
+            ids = batch.column(0).take(pa.array(at))
+            for s in range(0, len(numbers), 256):
+                scores = rows @ matrix[s : s + 256].T
+                for c, n in enumerate(numbers[s : s + 256]):
+                    own = scores[:, c]
+                    least = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                    pick = np.flatnonzero(own >= least)
+                    some, best = held.get(int(n), ([], np.zeros(0)))
+                    some, best = some + ids.take(pa.array(pick)).to_pylist(), np.concatenate([best, own[pick]])
+                    if len(best) > k:
+                        order = sorted(range(len(best)), key=lambda i: (-best[i], some[i]))[:k]
+                        some, best = [some[i] for i in order], best[order]
+                    held[int(n)] = some, best
+        kind = batch.schema.field(0).type
+    if held:
+        numbers = np.repeat(np.fromiter(held, np.int32, len(held)), [len(s) for s, _ in held.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([i for s, _ in held.values() for i in s], kind), pa.array(np.concatenate([b for _, b in held.values()]))], ["query", "id", "score"])
 
 
 def postings(df: DataFrame, id: str = "id", text: str = "name") -> DataFrame:
     """The inverted index: term, id, tf, length."""
+    return _tf(_each_word(df, id, text))
+
+
+def _each_word(df: DataFrame, id: str, text: str) -> DataFrame:
     w = df.select(F.col(id).alias("id"), words(F.col(text)).alias("_w"))
-    x = w.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
-    return x.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    return w.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
+
+
+def _tf(each: DataFrame) -> DataFrame:
+    return each.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, id, score, rank of queries (query_id, text); any of the words may match."""
+    """query_id, id, score, rank of queries (query_id, text) over a stored index; any of the words may match."""
     docs = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = index.join(terms.select("term").distinct(), "term", "left_semi")
+    terms = _terms(queries)
+    return _scored(index.join(terms.select("term").distinct(), "term", "left_semi"), terms, docs, k)
+
+
+def bm25_texts(df: DataFrame, queries: DataFrame, k: int = 10, id: str = "id", text: str = "name") -> DataFrame:
+    """The same over texts (ids are distinct): their figures come from one pass, and only words that are asked for leave their row."""
+    length = df.select(F.size(words(F.col(text))).alias("length"))
+    docs = length.filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    terms = _terms(queries)
+    asked = terms.select("term").distinct()
+    if asked.count() <= ASKED:
+        asked = F.broadcast(asked)
+    return _scored(_tf(_each_word(df, id, text).join(asked, "term", "left_semi")), terms, docs, k)
+
+
+def _scored(hits: DataFrame, terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
     x = hits.join(df_, "term").join(terms, "term").crossJoin(docs)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

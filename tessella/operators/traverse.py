@@ -172,6 +172,12 @@ def community_children(communities: DataFrame, parents: DataFrame) -> DataFrame:
     return parents.filter("child_level = parent_level - 1").join(c, ["child_id", "child_level"]).select("parent_id", "parent_level", "child_id", F.col("child_level").alias("level"), "summary")
 
 
+def community_counts(communities: DataFrame) -> DataFrame:
+    """One row: communities, those with a summary, reports that failed."""
+    failed = F.count_if(F.col("report_status") == "failed") if "report_status" in communities.columns else F.lit(0).cast("bigint")
+    return communities.agg(F.count("*").alias("community_count"), F.count_if(F.coalesce("summary", F.lit("")) != "").alias("community_summary_count"), failed.alias("failed_report_count"))
+
+
 def graph_counts(entities: DataFrame, relationships: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: entities, relationships (raw, and from both ends), loops, chunks, evidence links."""
     r = relationships.agg(F.count("*").alias("relationship_count"), F.coalesce(F.sum(F.when(F.col("source_id") != F.col("target_id"), 2).otherwise(1)), F.lit(0)).alias("relationship_ends"), F.count_if(F.col("source_id") == F.col("target_id")).alias("self_loop_count"))

@@ -1,16 +1,50 @@
-"""Cutting of lineage in the folder that all executors share."""
+"""Cutting of lineage in the folder that all executors share, and the package for workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the shared folder (spark.checkpoint.dir), or in one of our own if that is unset."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. A temporary one of our own only where there is one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return at or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in the shared folder, so that it is computed once and survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_bare(df: DataFrame) -> DataFrame:
+    """The same without what the optimizer knows of df: over many rounds the constraints it infers of aliases double in each."""
+    spark, out = df.sparkSession, cut(df)
+    rows = out._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: by path on the driver's machine, as a zip that Spark hands out elsewhere."""
+    sc = spark.sparkContext
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(PACKAGE.parent) in paths:
+        return
+    if not sc.master.startswith("local["):
+        at = os.path.join(sc._temp_dir, f"{PACKAGE.name}.zip")
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(PACKAGE.rglob("*.py")):
+                z.write(p, p.relative_to(PACKAGE.parent))
+        sc.addPyFile(at)
+    sc.environment["PYTHONPATH"] = os.pathsep.join([str(PACKAGE.parent), *paths])

@@ -1,7 +1,8 @@
 """The graph store: tables of a property graph as Parquet, with upserts, views, checks and indexes.
 
-An upsert reads a table, lays the new rows over it by key and swaps the folder it wrote for the old one. Tables are
-partitioned by nothing: a store of many graphs filters by graph_name, which reaches the scan.
+An upsert reads a table, lays the new rows over it by key and swaps the folder it wrote for the old one: the old one is
+set aside first, and taken back if what follows didn't happen. Tables are partitioned by nothing: a store of many graphs
+filters by graph_name, which reaches the scan. Indexes of entities go when entities change, so none is out of date.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tessella.sources.lineage import cut
+
 KEYS = {
     "documents": ["graph_name", "id"], "chunks": ["graph_name", "id"], "entities": ["graph_name", "id"],
     "relationships": ["graph_name", "source_id", "target_id", "type"], "evidence": ["graph_name", "chunk_id", "entity_id"],
@@ -43,14 +46,19 @@ def _merged(c: str, at):
 
 
 def only_known(kind: str, rows: DataFrame, tables: Callable[[str], DataFrame | None]) -> DataFrame:
-    """Rows whose ends exist: chunks need their document, evidence and relationships both ends."""
+    """Rows whose ends exist: chunks need their document, evidence and relationships both ends, claims their entity."""
     known = lambda name, key: tables(name).select("graph_name", F.col("id").alias(key))
-    need = {"chunks": [("documents", "document_id")], "evidence": [("chunks", "chunk_id"), ("entities", "entity_id")], "relationships": [("entities", "source_id"), ("entities", "target_id")]}
+    need = {"chunks": [("documents", "document_id")], "evidence": [("chunks", "chunk_id"), ("entities", "entity_id")], "relationships": [("entities", "source_id"), ("entities", "target_id")], "claims": [("entities", "entity_id")]}
     for table, key in need.get(kind, []):
         rows = rows.join(known(table, key), ["graph_name", key], "left_semi")
     return rows
 
 
+def type_counts(rows: DataFrame, kind: str) -> DataFrame:
+    """kind, type, n: how many rows there are of each type."""
+    return rows.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+
+
 class GraphStore:
     ORDER = ("documents", "chunks", "entities", "evidence", "relationships", "claims", "communities", "memberships", "parents")
 
@@ -64,7 +72,10 @@ class GraphStore:
 
     def exists(self, name: str) -> bool:
         fs, p = self._fs(f"{self.path}/{name}")
-        return fs.exists(p)
+        if fs.exists(p):
+            return True
+        aside = self._fs(f"{self.path}/_{name}_aside")[1]
+        return fs.exists(aside) and fs.rename(aside, p)
 
     def table(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/{name}") if self.exists(name) else None
@@ -74,16 +85,24 @@ class GraphStore:
         new = f"{self.path}/_{name}_{time.time_ns()}"
         df.write.parquet(new)
         fs, p = self._fs(f"{self.path}/{name}")
-        fs.delete(p, True)
-        fs.rename(self._fs(new)[1], p)
+        aside = self._fs(f"{self.path}/_{name}_aside")[1]
+        if self.exists(name):
+            fs.delete(aside, True)
+            if not fs.rename(p, aside):
+                raise RuntimeError(f"{name} can't be set aside")
+        if not fs.rename(self._fs(new)[1], p):
+            raise RuntimeError(f"{name} can't be put in its place")
+        fs.delete(aside, True)
         self.spark.catalog.refreshByPath(f"{self.path}/{name}")
+        if name == "entities":
+            self.drop_indexes()
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, int]:
         """Upserts tables in the order of their dependence; the rows of each that were laid in."""
         stats = {}
         for name in self.ORDER:
             if name in tables:
-                rows = only_known(name, tables[name], self.table)
+                rows = cut(only_known(name, tables[name], self.table))  # laid in and counted
                 self.replace(name, upsert(self.table(name), rows, KEYS[name]))
                 stats[name] = rows.select(*KEYS[name]).distinct().count()
         return stats
@@ -101,8 +120,12 @@ class GraphStore:
 
     def verify(self, graph: str, k: int = 20) -> DataFrame:
         """The k most frequent types of entities and of relationships: kind, type, n."""
-        count = lambda t: self.table(t).filter(F.col("graph_name") == graph).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(k).select(F.lit(t).alias("kind"), "type", "n")
-        return count("entities").unionByName(count("relationships"))
+        out = self.spark.createDataFrame([], "kind string, type string, n bigint")
+        for t in ("entities", "relationships"):
+            if self.exists(t):
+                own = self.table(t).filter(F.col("graph_name") == graph)
+                out = out.unionByName(type_counts(own, t).orderBy(F.desc("n"), "type").limit(k))
+        return out
 
     def delete_communities(self, graph: str) -> None:
         for name in ("communities", "memberships", "parents"):
@@ -110,8 +133,15 @@ class GraphStore:
                 self.replace(name, self.table(name).filter(F.col("graph_name") != graph))
 
     def upsert_vectors(self, vectors: DataFrame) -> None:
-        """Lays vectors (graph_name, id, embedding) over the entities' own."""
+        """Lays vectors (graph_name, id, embedding) over the entities' own; all have to have one length, the old ones too."""
         old = self.table("entities")
+        vectors = cut(vectors)
+        sizes = vectors.select(F.size("embedding").alias("n"))
+        if "embedding" in old.columns:
+            sizes = sizes.union(old.join(vectors.select("graph_name", "id"), ["graph_name", "id"], "left_anti").filter("embedding is not null").select(F.size("embedding")))
+        found = sorted(r.n for r in sizes.distinct().limit(3).collect())
+        if len(found) > 1:
+            raise ValueError(f"vectors of several lengths: {', '.join(map(str, found))}")
         new = vectors.select("graph_name", "id", F.col("embedding").alias("_v"))
         joined = old.join(new, ["graph_name", "id"], "left")
         had = F.col("embedding") if "embedding" in old.columns else F.lit(None).cast("array<float>")
@@ -122,11 +152,12 @@ class GraphStore:
         return e.filter("embedding is null") if "embedding" in e.columns else e
 
     def create_indexes(self) -> None:
-        """Materialises the keyword and vector indexes of the entities."""
+        """Materialises the keyword and vector indexes of the entities, of all graphs."""
         from tessella.operators.search import postings, unit_vectors
 
         e = self.table("entities")
-        self.replace("index_names", postings(e))
+        names = e.select(F.struct("graph_name", "id").alias("id"), "name")
+        self.replace("index_names", postings(names).select(F.col("id.graph_name").alias("graph_name"), F.col("id.id").alias("id"), "term", "tf", "length"))
         if "embedding" in e.columns:
             self.replace("index_vectors", unit_vectors(e.select("graph_name", "id", "type", "embedding")))
 

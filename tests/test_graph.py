@@ -97,6 +97,42 @@ def test_two_pairs_are_two_communities(spark, local):
     assert m.count() >= 4
 
 
+def test_communities_are_the_same_on_both_paths(spark):
+    r, weights, gamma = np.random.default_rng(3), [0.5, 1.25, 2.0], 1.1
+    rows = {(g, f"n{min(a, b)}", f"n{max(a, b)}") for g in ("g", "h") for a, b in r.integers(0, 60, (220, 2)) if a != b and (a // 12 == b // 12 or r.random() < 0.1)}
+    e = edges_of(spark, [(*x, float(r.choice(weights))) for x in sorted(rows)])
+    near = communities.detect(e, 2, gamma).collect()
+    far = communities.detect(e, 2, gamma, local_edges=0).collect()
+    assert sorted(near) == sorted(far)
+    alone = communities.detect(e.filter("graph_name = 'g'"), 2, gamma).collect()
+    assert sorted(alone) == sorted(x for x in near if x.graph_name == "g")
+    # Connected inside, and of more modularity than a single community.
+    links = {(g, a, b): w for g, a, b, w in [tuple(x) for x in e.collect()]}
+    own = {(x.graph_name, x.entity_id): x.community_id for x in near if x.level == 0}
+    for g in ("g", "h"):
+        total = sum(w for (q, _, _), w in links.items() if q == g)
+        k = {}
+        for (q, a, b), w in links.items():
+            if q == g:
+                k[a], k[b] = k.get(a, 0) + w, k.get(b, 0) + w
+        inside = sum(w for (q, a, b), w in links.items() if q == g and own[g, a] == own[g, b])
+        size = {}
+        for n, d in k.items():
+            size[own[g, n]] = size.get(own[g, n], 0) + d
+        assert inside / total - sum((x / 2 / total) ** 2 for x in size.values()) > 0.35
+        for c in size:
+            some = [n for n in k if own[g, n] == c]
+            seen, todo = {some[0]}, [some[0]]
+            while todo:
+                n = todo.pop()
+                for q, a, b in links:
+                    for x, y in ((a, b), (b, a)):
+                        if q == g and x == n and y in some and y not in seen:
+                            seen.add(y)
+                            todo.append(y)
+            assert seen == set(some)
+
+
 def test_communities_nest_and_repeat(spark):
     r = np.random.default_rng(3)
     rows = [("g", f"n{min(a, b):03}", f"n{max(a, b):03}", 1.0) for a, b in r.integers(0, 90, (400, 2)) if a != b and (a // 10 == b // 10 or r.random() < 0.1)]
@@ -219,6 +255,157 @@ def test_engine_from_text_to_answers(spark, tmp_path):
         e.search("Alice", "other")
 
 
+def graph_schema():
+    return extraction.build_schema(["Person", "Organization"], ["WORKS_AT"], [("Person", "WORKS_AT", "Organization")])
+
+
+def test_envelopes_of_pages_become_windows(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store", "g", graph_schema(), Scripted(answer))
+    page = lambda t, **m: (t, m or None)
+    pages = [page("one", record_id="r1", collection="c"), page("", record_id="r2", source="s2", collection="c"), page("three", id="x"), page(None)]
+    rows = [("A text.", None, {"source": "text", "year": "1999"}), (None, pages, {"source": "book", "title": "Book"}), (None, [], {"source": "none"})]
+    df = spark.createDataFrame(rows, "text string, pages array<struct<text:string,metadata:map<string,string>>>, metadata map<string,string>")
+    assert e.build(df)["chunks"] == 4
+    got = {r.id: r for r in e.store.table("chunks").collect()}
+    assert sorted(got) == ["doc:book:pages:1-2", "doc:book:pages:2-3", "doc:book:pages:3-4", "doc:text:chunk:0"]
+    first, text = got["doc:book:pages:1-2"], got["doc:text:chunk:0"]
+    assert (first.text, first.page_start, first.page_end, first["index"]) == ("one\n\n", 1, 2, 0) and got["doc:book:pages:3-4"]["index"] == 2
+    assert first.metadata == {"source": "book", "title": "Book", "page_start": "1", "page_end": "2", "record_ids": '["r1","r2"]', "source_ids": '["r1","s2"]', "collections": '["c"]'}
+    assert text.metadata == {"source": "text", "year": "1999", "char_start": "0", "char_end": "7"} and text.page_start is None
+    assert {r.document_id: (r.chunk_count, r.entity_count, r.relationship_count) for r in e.results(df).collect()} == {"doc:text": (1, 2, 1), "doc:book": (3, 2, 1), "doc:none": (0, 0, 0)}
+    one = spark.createDataFrame([(["p", "q", "r"], {"source": "plain"})], "pages array<string>, metadata map<string,string>")
+    e.build(one, window=1, window_overlap=0)
+    assert {r.id for r in e.store.table("chunks").filter("document_id = 'doc:plain'").collect()} == {f"doc:plain:pages:{i}-{i}" for i in (1, 2, 3)}
+    with pytest.raises(ValueError, match="window"):
+        e.build(one, window=2, window_overlap=2)
+
+
+class Counted:
+    """A scripted model that notes what it was asked in a file, which workers share."""
+
+    def __init__(self, path, answer):
+        self.path, self.answer = path, answer
+
+    def invoke(self, prompt):
+        with open(self.path, "a") as f:
+            f.write(json.dumps(prompt) + "\n")
+        return self.answer(prompt)
+
+    def asked(self):
+        return [json.loads(x) for x in open(self.path)]
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    def say(prompt):
+        return '[{"subject": "alice", "description": "Alice is kind."}, {"subject": "nobody", "description": "x"}]' if prompt.startswith("Give the claims") else answer(prompt)
+
+    chat = Counted(f"{tmp_path}/asked", say)
+    e = Engine(spark, f"file://{tmp_path}/store", "g", graph_schema(), chat, prompts=extraction.Prompts(extract="Give the entities of {text} {not a name} by\n{schema}"))
+    stats = e.build(spark.createDataFrame([("Alice works at Acme.", None)], "text string, metadata map<string,string>"), with_claims=True)
+    assert stats["claims"] == 1 and len(chat.asked()) == 2
+    assert any(p.startswith("Give the entities of Alice works at Acme. {not a name} by\n- Person") for p in chat.asked())
+    assert e.counts() == {"entity_count": 2, "relationship_count": 1, "relationship_ends": 2, "self_loop_count": 0, "chunk_count": 1, "evidence_count": 2}
+
+
+def test_reports_are_mended_once_and_keep_to_a_budget(spark, tmp_path):
+    def say(prompt):
+        if prompt.startswith("The report below"):
+            return answer("Report on x" + prompt[prompt.index("\n\nIds that findings") :])
+        return "No JSON." if prompt.startswith("Report on") else answer(prompt)
+
+    chat = Counted(f"{tmp_path}/asked", say)
+    e = Engine(spark, f"file://{tmp_path}/store", "g", graph_schema(), chat)
+    e.build(spark.createDataFrame([("Alice works at Acme.",)], "text string"))
+    e.detect()
+    n = len(chat.asked())
+    assert e.summarise(repair=False) == 1 and len(chat.asked()) == n + 1
+    assert e.counts()["failed_report_count"] == 1
+    assert e.summarise(concurrency=1) == 0 and len(chat.asked()) == n + 3
+    assert "it isn't a JSON object" in chat.asked()[-1] and "No JSON." in chat.asked()[-1]
+    assert (e.counts()["community_summary_count"], e.counts()["failed_report_count"]) == (1, 0)
+    assert e.summarise() == 0 and len(chat.asked()) == n + 3
+    assert e.summarise(skip_existing=False, max_tokens=4) == 0
+    asked = [p for p in chat.asked()[n + 3 :] if p.startswith("Report on")]
+    assert len(asked) == 1 and "WORKS_AT" not in asked[0].split("Ids that")[0]
+
+
+def test_problems_of_reports(spark):
+    good = {"title": "T", "summary": "S", "rating": 3, "findings": [{"description": "d", "references": [{"target_id": "a", "target_type": "entity"}]}]}
+    rows = [json.dumps(good), json.dumps(good | {"title": ""}), json.dumps(good | {"rating": "high"}), json.dumps(good | {"findings": []}), "nothing"]
+    df = spark.createDataFrame([(i, r, ["a"]) for i, r in enumerate(rows)], "i int, content string, ids array<string>")
+    got = [r.p for r in df.select("i", context.report_problems(F.col("content"), F.col("ids")).alias("p")).orderBy("i").collect()]
+    assert got[0] == "" and got[1] == "it has no title" and "rating" in got[2] and got[3].startswith("no finding") and "JSON" in got[4]
+    parsed = context.parse_report(F.col("content"), F.col("ids"), F.lit("c"), F.lit(0))
+    js = [r.j for r in df.select("i", context.report_json(parsed).alias("j")).orderBy("i").collect()]
+    assert json.loads(js[0])["findings"][0]["references"] == [{"target_id": "a", "target_type": "entity"}] and list(json.loads(js[0])) == sorted(json.loads(js[0])) and js[4] is None
+
+
+def test_children_in_a_budget(spark):
+    x = spark.createDataFrame([("p", 1, "a", 0, "x" * 60), ("p", 1, "b", 0, "y" * 60), ("q", 1, "c", 0, "z")], "parent_id string, parent_level int, child_id string, level int, summary string")
+    got = {r.community_id: r.text for r in context.child_context(x).collect()}
+    assert got["p"] == "Community a (level 0):\n" + "x" * 60 + "\n\nCommunity b (level 0):\n" + "y" * 60
+    small = {r.community_id: r.text for r in context.child_context(x, 25).collect()}
+    assert small["p"] == "Community a (level 0):\n" + "x" * 60 + "\n\nCommunity b (lev" and small["q"] == got["q"]
+
+
+def test_packing_cuts_what_is_too_long(spark):
+    x = spark.createDataFrame([("g", 1, 3, "a" * 12), ("g", 2, 9, "b" * 36), ("g", 3, 2, "c" * 8), ("g", 4, 1, "d")], "g string, o int, n int, t string")
+    got = context.pack_items(x, 8, "g", "o", "n", "t").orderBy("o").collect()
+    assert [(r.included, r.truncated, r.n, r.t) for r in got] == [(True, False, 3, "a" * 12), (True, True, 5, "b" * 20), (False, False, 0, ""), (False, False, 0, "")]
+
+
+def test_vector_search_by_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x, q = r.normal(size=(300, 8)), r.normal(size=(9, 8))
+    x[7] = x[3]
+    index = search.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [0.0] * 8), (901, None), (902, [1.0, 2.0])], "id int, embedding array<double>")).repartition(5)
+    asks = search.unit_vectors(spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)] + [("other", [2.0, 1.0])], "query_id string, embedding array<double>"))
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    want = {(f"q{a}", int(b)): round(s[a, b], 9) for a in range(9) for b in np.lexsort((np.arange(300), -np.round(s[a], 12)))[:4]} | {("other", 902): 0.8}
+    for size in (search.QUERY_BYTES, 64 * 2):
+        monkeypatch.setattr(search, "QUERY_BYTES", size)
+        assert {(r.query_id, r.id): round(r.score, 9) for r in search.vector_search(index, asks, 4).collect()} == pytest.approx(want)
+    assert search.vector_search(index, asks.limit(0), 4).count() == 0
+    plan = search.vector_search(index, asks, 4)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_keyword_search_of_texts_and_of_an_index(spark):
+    names = spark.createDataFrame([(i, t) for i, t in enumerate(["red apple", "green apple apple", "red", "", None, "blue sky"])], "id int, name string")
+    q = spark.createDataFrame([("a", "Apple red"), ("b", "nothing"), ("c", "")], "query_id string, text string")
+    rows = lambda df: [(r.query_id, r.id, round(r.score, 9)) for r in df.orderBy("query_id", "rank").collect()]
+    assert rows(search.bm25(search.postings(names), q)) == rows(search.bm25_texts(names, q)) and [r[1] for r in rows(search.bm25_texts(names, q))] == [0, 2, 1]
+
+
+def test_a_crash_between_renames_loses_no_table(spark, tmp_path):
+    s = store.GraphStore(spark, f"file://{tmp_path}/g")
+    s.write({"entities": ents(spark, ["Alice"])})
+    s.create_indexes()
+    assert s.exists("index_names") and [r.graph_name for r in s.table("index_names").collect()] == ["g"]
+    (tmp_path / "g" / "entities").rename(tmp_path / "g" / "_entities_aside")
+    assert s.table("entities").count() == 1 and s.verify("g").count() == 1
+    s.write({"entities": ents(spark, ["Alice", "Bob"])})
+    assert not s.exists("index_names")
+    v = lambda rows: spark.createDataFrame([("g", *r) for r in rows], "graph_name string, id string, embedding array<float>")
+    with pytest.raises(ValueError, match="lengths"):
+        s.upsert_vectors(v([("e0", [1.0]), ("e1", [1.0, 2.0])]))
+    s.upsert_vectors(v([("e0", [1.0, 0.0])]))
+    with pytest.raises(ValueError, match="lengths"):
+        s.upsert_vectors(v([("e1", [1.0])]))
+    assert s.unembedded("g").count() == 1
+    s.delete_communities("g")
+
+
+def test_levels(spark):
+    c = spark.createDataFrame([(0, "a"), (2, "b")], "level int, id string")
+    assert [communities.level_of(c, x) for x in (None, "all", "finest", "coarsest", 1)] == [None, None, 0, 2, 1]
+    for bad in (-1, True, "middle"):
+        with pytest.raises(ValueError):
+            communities.level_of(c, bad)
+    p = spark.createDataFrame([(["a", "a", "b"], "b"), ([], "c")], "p array<string>, l string")
+    assert [r.x for r in p.select(communities.normal_path(F.col("p"), F.col("l")).alias("x")).collect()] == [["a", "b"], ["c"]]
+
+
 def test_all_chunks_failing_is_an_error(spark):
     def fail(prompt):
         raise RuntimeError("down")
