@@ -6,12 +6,13 @@ greatest answer counts. A text's features are, for each filter, the greatest ove
 A logistic unit makes one probability of these.
 
 The network is trained here, by gradient descent with momentum estimates, on SAMPLE_ROWS labelled texts at most, chosen
-by hash; the seed is fixed, so equal data give an equal network. Scoring is a map over the scan without any shuffle;
-long texts go through in turns of bounded size.
+by hash; whole texts train it, and the seed is fixed, so equal data give an equal network. Scoring is a map over the scan
+without any shuffle; long texts go through in turns of bounded size, in training as in scoring.
 
 Defined cases: a null text has a null probability; an empty one is scored as bytes of padding; labels that are null,
 and ids whose labels contradict each other, train nothing; without labels of two kinds the probability is the share of
-good ones, 0.5 without any; repeated rows give repeated rows and null ids stay null. Other columns don't matter.
+good ones, 0.5 without any; repeated rows give repeated rows and null ids stay null; an empty table gives an empty result.
+Other columns don't matter, not even one named `quality`.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from tessella.llm.common import col, ship
 DIMS, WIDTH, STRIDE, FILTERS = 8, 8, 2, 32
 CHUNK = 1024
 SAMPLE_ROWS = 3000
-#: A training step takes so many bytes of a text at most, from a random place on; scoring takes all.
-TRAIN_BYTES = 8192
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 7
 #: Bytes of text that are convolved at once.
 TURN = 1 << 18
@@ -54,10 +53,19 @@ class Network:
         n = (len(raw) - WIDTH) // STRIDE + 1
         return np.lib.stride_tricks.as_strided(v, (n, WIDTH * DIMS), (STRIDE * DIMS * 4, 4))
 
-    def cells(self, raw: np.ndarray) -> np.ndarray:
-        """Greatest answers of the filters in each half chunk; raw is whole cells and WIDTH - STRIDE bytes of what follows."""
-        answers = np.maximum(self._windows(raw) @ self.filter + self.bias, 0)
-        return answers.reshape(-1, _CELL // STRIDE, FILTERS).max(axis=1)
+    def _answers(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Answers of the filters to each window, before the rectifier; raw is whole cells and WIDTH - STRIDE bytes of what
+        follows. Where a text ends, within raw, its last windows reach into padding, not into the next text."""
+        out = self._windows(raw) @ self.filter + self.bias
+        if len(ends):
+            start = (ends[:, None] - np.arange(WIDTH - STRIDE, 0, -STRIDE)).reshape(-1)
+            under = self.byte[_under(raw, ends, start)].reshape(-1, WIDTH * DIMS)
+            out[start // STRIDE] = under @ self.filter + self.bias
+        return out
+
+    def cells(self, raw: np.ndarray, ends: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:
+        """Greatest answers of the filters in each half chunk."""
+        return np.maximum(self._answers(raw, ends), 0).reshape(-1, _CELL // STRIDE, FILTERS).max(axis=1)
 
     def features(self, cells: np.ndarray) -> np.ndarray:
         """Of one text: a chunk is two cells in a row."""
@@ -69,7 +77,7 @@ class Network:
         held, size = [], 0
 
         def flush() -> None:
-            c = self.cells(np.concatenate([*(p for _, p in held), np.zeros(WIDTH - STRIDE, np.uint8)]))
+            c = self.cells(np.concatenate([*(p for _, p in held), np.zeros(WIDTH - STRIDE, np.uint8)]), np.cumsum([len(p) for _, p in held]))
             at = 0
             for i, p in held:
                 n = len(p) // _CELL
@@ -101,11 +109,16 @@ class Network:
     def gradients(self, raws: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss over texts; only windows with a chunk's greatest answer have a part in it."""
         raw = np.concatenate([*raws, np.zeros(WIDTH - STRIDE, np.uint8)])
-        win = self._windows(raw)
-        answers = (win @ self.filter + self.bias).reshape(-1, _CELL // STRIDE, FILTERS)
-        where = answers.argmax(axis=1)
-        top = np.take_along_axis(answers, where[:, None], axis=1)[:, 0]
-        where += np.arange(len(where))[:, None] * (_CELL // STRIDE)
+        n_cells, per = (len(raw) - (WIDTH - STRIDE)) // _CELL, _CELL // STRIDE
+        ends = np.cumsum([len(p) for p in raws])
+        where, top = np.empty((n_cells, FILTERS), np.int64), np.empty((n_cells, FILTERS), np.float32)
+        for a in range(0, n_cells, TURN // _CELL):
+            b = min(n_cells, a + TURN // _CELL)
+            own = ends[(ends > a * _CELL) & (ends <= b * _CELL)] - a * _CELL
+            answers = self._answers(raw[a * _CELL : b * _CELL + WIDTH - STRIDE], own).reshape(b - a, per, FILTERS)
+            where[a:b] = answers.argmax(axis=1)
+            top[a:b] = np.take_along_axis(answers, where[a:b, None], axis=1)[:, 0]
+        where += np.arange(n_cells)[:, None] * per
         g = [np.zeros_like(p) for p in self.parts()]
         d_cells = np.zeros_like(top)
         at = 0
@@ -123,21 +136,35 @@ class Network:
             g[4] += e
             d = np.full((m, FILTERS), e * self.out[FILTERS:] / m, np.float32)
             d[best, np.arange(FILTERS)] += e * self.out[:FILTERS]
-            np.add.at(d_cells[at : at + n], (cell, np.arange(FILTERS)[None]), d)
+            # A cell is the greater one of the chunk that it begins, or of the one that it ends.
+            d_cells[at : at + m] += np.where(second == 0, d, 0)
+            if n > 1:
+                d_cells[at + 1 : at + 1 + m] += np.where(second == 1, d, 0)
             at += n
         d_cells[top <= 0] = 0
         g[2] += d_cells.sum(axis=0)
-        d_byte = np.zeros((len(raw), DIMS), np.float32)
-        for k in range(FILTERS):
-            some = np.flatnonzero(d_cells[:, k])
-            w, d = where[some, k], d_cells[some, k]
-            g[1][:, k] = d @ win[w]
-            np.add.at(d_byte, w[:, None] * STRIDE + np.arange(WIDTH), d[:, None, None] * self.filter[:, k].reshape(1, WIDTH, DIMS))
-        hit = np.flatnonzero(d_byte.any(axis=1))
-        np.add.at(g[0], raw[hit], d_byte[hit])
+        cell, k = np.nonzero(d_cells)
+        by = np.argsort(k, kind="stable")
+        cell, k = cell[by], k[by]
+        under = _under(raw, ends, where[cell, k] * STRIDE)
+        d = d_cells[cell, k]
+        first = np.searchsorted(k, np.arange(FILTERS + 1))
+        for f in range(FILTERS):
+            r = slice(first[f], first[f + 1])
+            g[1][:, f] = d[r] @ self.byte[under[r]].reshape(-1, WIDTH * DIMS)
+        # A byte's vector gets, for each place under a filter that it stands at, that place's part of the filter.
+        places = (np.arange(WIDTH) * FILTERS + k[:, None]) * 256 + under
+        weight = np.bincount(places.reshape(-1), np.repeat(d, WIDTH), WIDTH * FILTERS * 256).reshape(WIDTH, FILTERS, 256)
+        g[0] += np.einsum("wfb,wdf->bd", weight, self.filter.reshape(WIDTH, DIMS, FILTERS)).astype(np.float32)
         return g
 
 
+def _under(raw: np.ndarray, ends: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Bytes under windows that begin at start, 0 beyond the end of their text."""
+    place = start[:, None] + np.arange(WIDTH)
+    return np.where(place < ends[np.searchsorted(ends, start, side="right")][:, None], raw[place], 0)
+
+
 def padded(text: str) -> np.ndarray:
     """UTF-8 bytes, filled up with 0 to whole cells."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -167,10 +194,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
         order = r.permutation(len(raws))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            some = []
-            for k in rows:
-                at = int(r.integers(0, max(1, (len(raws[k]) - TRAIN_BYTES) // _CELL + 1))) * _CELL
-                some.append(raws[k][at : at + TRAIN_BYTES])
+            some = [raws[k] for k in rows]
             step += 1
             rate = RATE * (1 - (step - 1) / total)
             for p, g, m, v in zip(net.parts(), net.gradients(some, y[rows]), first, second, strict=True):
