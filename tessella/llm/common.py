@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tessella.sources.lineage import cut, shared_dir, ship
 
+__all__ = ["col", "cut", "fresh", "hash_duck", "hash_sql", "lean", "partitions", "read", "shared_dir", "ship", "tidy", "without"]
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's path too."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+_last = 0.0
+
+
+def tidy(pause: float = 0.0) -> None:
+    """Give back to the system what a worker has freed, which allocators keep for themselves; not again within a pause.
+    Workers outlive their tasks, and what one stage left would count beside the next one's need."""
+    global _last
+    now = time.monotonic()
+    if now - _last < pause:
+        return
+    _last = now
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not a C library that has it
+        return
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that leaves its worker tidy."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidied
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -43,23 +67,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df read from a reliable checkpoint, so that it is computed once and survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

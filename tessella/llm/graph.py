@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, ship
+from tessella.llm.common import cut, lean, ship
 
 
 #: So many edges, contracted within partitions, meet in one task; more go through rounds of joins, to the same result.
@@ -54,9 +54,9 @@ def components(edges: DataFrame) -> DataFrame:
     ship(edges.sparkSession)
     edges = cut(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a is not null and b is not null and a != b"))
     # Contracted in a stage of its own: edges that come from Python would hold two workers a core at once.
-    edges = cut(edges.mapInArrow(_contract, "a bigint, b bigint"))
+    edges = cut(edges.mapInArrow(lean(_contract), "a bigint, b bigint"))
     if edges.count() <= ONE_TASK:
-        edges = cut(edges.coalesce(1).mapInArrow(_contract, "a bigint, b bigint"))
+        edges = cut(edges.coalesce(1).mapInArrow(lean(_contract), "a bigint, b bigint"))
     else:
         edges = _rounds(edges)
     found = edges.selectExpr("a as node", "b as root")

@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import col, cut, fresh, partitions, ship
+from tessella.llm.common import col, cut, fresh, lean, partitions, ship, tidy
 from tessella.llm.graph import components, roots, rows_of
 from tessella.llm.setjoin import few_join, jaccard_join, least
 from tessella.llm.words import Lookup, blocks, mix64, words
@@ -138,7 +138,7 @@ def _survey(n: int, buckets: int):
         if held:
             yield repeats(held)
 
-    return run
+    return lean(run)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -247,7 +247,7 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
                 blobs.append(_pack(np.uint32(len(own)), key[own], size[own], length.astype(np.uint8), t, at))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])]), pa.array(blobs, pa.binary())], ["bucket", "lists"])
 
-    return run
+    return lean(run)
 
 
 def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -276,6 +276,7 @@ def _meet(kin: Broadcast, threshold: float, buckets: int):
     c = threshold / (1 + threshold)
 
     def run(table: pa.Table) -> pa.Table:
+        tidy(0.5)
         token, place, key, size = _lists(table)
         if not len(token):
             return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
@@ -351,6 +352,7 @@ def _sift(threshold: float):
     """Of a bucket of pairs: edges of a forest that connects those which could reach the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy(0.5)
         parts = []
         for raw in table.column("pairs"):
             raw = raw.as_py()
@@ -411,11 +413,12 @@ def _whole(order: Broadcast, wanted: Broadcast, n: int):
                     raw.append(order.value.tokens(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], ["class", "grams"])
 
-    return run
+    return lean(run)
 
 
 def _met(key: tuple, table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a task's classes: their keys, the rows that tell of them, and the pairs i, j and their similarity."""
+    tidy(0.5)
     keys, first = np.unique(table.column("class").to_numpy(), return_index=True)
     raw = table.column("grams")
     grams = [np.frombuffer(raw[int(k)].as_py(), _U) for k in first]
