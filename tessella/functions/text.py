@@ -117,8 +117,12 @@ def words(text: Column) -> Column:
 
 @F.arrow_udf(DoubleType())
 def indel_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    """100 * 2 * LCS / (len a + len b) of two strings, 100 for two empty ones; a dynamic programme over whole batches."""
-    left, right = ([x or "" for x in y.to_pylist()] for y in (a, b))
+    """indel_scores() of two columns; null counts as empty."""
+    return pa.array(indel_scores(*([x or "" for x in y.to_pylist()] for y in (a, b))))
+
+
+def indel_scores(left: list[str], right: list[str]) -> np.ndarray:
+    """100 * 2 * LCS / (len a + len b) of pairs of strings, 100 for two empty ones; a dynamic programme over all of them at once."""
     out = np.empty(len(left))
     size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right, strict=True)), np.int64, len(left))
     order = np.argsort(size, kind="stable")
@@ -137,4 +141,4 @@ def indel_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
             row = np.concatenate([row[:, :1], np.maximum.accumulate(np.maximum(hit, row[:, 1:]), axis=1)], axis=1)
         total = np.fromiter((len(left[r]) + len(right[r]) for r in rows), np.int64, len(rows))
         out[rows] = np.where(total == 0, 100.0, 200.0 * row[:, -1] / np.maximum(total, 1))
-    return pa.array(out)
+    return out

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import indel_ratio, normalize_name
+from tessella.functions.text import indel_ratio, indel_scores, normalize_name
 from tessella.operators.extraction import call, unfenced
 from tessella.operators.search import dot
-from tessella.sources.lineage import cut
+from tessella.sources.lineage import cut, ship
 
 STRATEGIES = ("exact", "normalized", "fuzzy", "hybrid")
 KEY = ["graph_name", "type"]
@@ -67,6 +68,10 @@ def scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", indel_ratio(F.col("norm_a"), F.col("norm_b")))
 
 
+#: Names of a block that are looked through at once.
+AHEAD = 1024
+
+
 def fuzzy(entities: DataFrame, merge_threshold: float = 95.0, review_threshold: float = 85.0, k: int = 20, unicode: bool = False) -> DataFrame:
     """graph_name, type, id_a, id_b, score, decision (merge, review) of singletons, paired greedily in the order of ids.
 
@@ -74,53 +79,37 @@ def fuzzy(entities: DataFrame, merge_threshold: float = 95.0, review_threshold:
     a walk in order, so each block (graph, type, first character) is one task; names of a block stay in one.
     """
 
-    def indel(a: str, b: str) -> float:
-        if not a and not b:
-            return 100.0
-        row = [0] * (len(b) + 1)
-        for x in a:
-            prev = 0
-            for j, y in enumerate(b, 1):
-                keep = row[j]
-                row[j] = prev + 1 if x == y else max(row[j], row[j - 1])
-                prev = keep
-        return 200.0 * row[-1] / (len(a) + len(b))
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids, norms = pdf["id"].tolist(), pdf["norm"].tolist()
-        free = list(range(len(ids)))
-        used, seen, out = set(), set(), []
+        size = np.fromiter(map(len, norms), np.int64, len(norms))
+        free, seen, out = np.ones(len(ids), np.bool_), set(), []
         for i in range(len(ids)):
-            if i in used:
+            if not free[i]:
                 continue
-            found = 0
-            for j in free:
-                if j == i or j in used:
-                    continue
-                la, lb = len(norms[i]), len(norms[j])
-                if abs(la - lb) > max(3, int(min(la, lb) * 0.4)):
-                    continue
-                found += 1
-                if found > k:
-                    break
-                pair = (min(i, j), max(i, j))
-                if pair in seen:
-                    continue
-                s = indel(norms[i], norms[j])
-                if s >= review_threshold:
-                    merge = s >= merge_threshold
-                    out.append((ids[i], ids[j], round(s, 2), "merge" if merge else "review"))
-                    seen.add(pair)
-                    if merge:
-                        used |= {i, j}
-                        free = [f for f in free if f not in (i, j)]
-                    break
+            # The first k free ones of like length, looked for from the front.
+            near, a = np.zeros(0, np.int64), 0
+            while len(near) < k and a < len(ids):
+                n = size[a : a + AHEAD]
+                ok = free[a : a + AHEAD] & (np.abs(n - size[i]) <= np.maximum(3, (np.minimum(n, size[i]) * 0.4).astype(np.int64)))
+                found = np.flatnonzero(ok) + a
+                near, a = np.concatenate([near, found[found != i]])[:k], a + AHEAD
+            near = [int(j) for j in near if (min(i, j), max(i, j)) not in seen]
+            score = indel_scores([norms[i]] * len(near), [norms[j] for j in near])
+            reach = np.flatnonzero(score >= review_threshold)
+            if len(reach):
+                j, s = near[reach[0]], float(score[reach[0]])
+                merge = s >= merge_threshold
+                out.append((ids[i], ids[j], round(s, 2), "merge" if merge else "review"))
+                seen.add((min(i, j), max(i, j)))
+                if merge:
+                    free[[i, j]] = False
         res = pd.DataFrame(out, columns=["id_a", "id_b", "score", "decision"])
         for c in KEY:
             res[c] = pdf[c].iloc[0]
         return res[[*KEY, "id_a", "id_b", "score", "decision"]]
 
+    ship(entities.sparkSession)
     x = singletons(entities, unicode).withColumn("first", F.substring("norm", 1, 1))
     return x.groupBy(*KEY, "first").applyInPandas(walk, "graph_name string, type string, id_a string, id_b string, score double, decision string")
 

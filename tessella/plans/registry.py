@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import assembly, chunking, communities, context, extraction, mapreduce, resolve, search, traverse
 from tessella.plans.trade import GRAPH, SQL, Trade
-from tessella.sources import store
+from tessella.sources import readers, store
 from tessella.streaming import ingest
 
 _QUERIES: dict[str, Callable] = {}
@@ -129,38 +129,32 @@ def lexical_query(t):
     return b.select("item_id", T.lexical_query(F.col("text")).alias("q"))
 
 
-# Assembly of the text graph: long words of chunks as entities, words that meet in a chunk as relationships
+# Assembly of the text graph: long words of chunks as entities, words that meet in a chunk as relationships. A word of one
+# chunk only can't repeat a relationship
 
-LOW, HIGH = 2, 40
+LOW = 2
 
 
 def text_tokens(t: Trade) -> DataFrame:
     c = chunking.chunk_chars(docs(t))
-    w = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{8,}"), F.lit(0)))
+    w = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"\p{L}{8,}"), F.lit(0)))
     return c.select("document_id", "chunk_id", F.col("index").alias("chunk_index"), F.posexplode(w).alias("pos", "term"))
 
 
 _TOKENS = """WITH ch AS (""" + _CHUNKS.format(size=1000, step=800) + """), w AS (
-  SELECT split_part(chunk_id, ':', 1) AS document_id, chunk_id, index AS chunk_index, regexp_extract_all(text, '[A-Za-z]{8,}') AS l FROM ch
+  SELECT split_part(chunk_id, ':', 1) AS document_id, chunk_id, index AS chunk_index, regexp_extract_all(text, '\\p{L}{8,}') AS l FROM ch
 ), tokens AS (SELECT document_id, chunk_id, chunk_index, min(p) - 1 AS pos, l[p] AS term FROM w, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p) GROUP BY ALL)
 """
 
 
-@query(_TOKENS + f""", band AS (SELECT term FROM tokens GROUP BY term HAVING count(*) BETWEEN {LOW} AND {HIGH}), k AS (SELECT * FROM tokens JOIN band USING (term))
+@query(_TOKENS + f""", band AS (SELECT term FROM tokens GROUP BY term HAVING count(*) >= {LOW}), k AS (SELECT * FROM tokens JOIN band USING (term))
 SELECT a.term AS source_id, b.term AS target_id, count(*)::DOUBLE AS weight, string_agg(a.chunk_id, '|' ORDER BY a.document_id, a.chunk_index) AS chunks
 FROM k a JOIN k b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL""")
 def relationship_weight(t):
-    x = assembly.relationships(assembly.cooccurrence(text_tokens(t), LOW, HIGH))
+    x = assembly.relationships(assembly.cooccurrence(text_tokens(t), LOW))
     return x.select("source_id", "target_id", "weight", joined("source_chunk_ids").alias("chunks"))
 
 
-@query(_TOKENS + f""", band AS (SELECT term FROM tokens GROUP BY term HAVING count(*) >= {LOW}), k AS (SELECT * FROM tokens JOIN band USING (term))
-SELECT a.term AS source_id, b.term AS target_id, count(*)::DOUBLE AS weight FROM k a JOIN k b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL""")
-def relationship_weight_all(t):
-    """relationship_weight with the terms of more than HIGH chunks too."""
-    return assembly.relationships(assembly.cooccurrence(text_tokens(t), LOW)).select("source_id", "target_id", "weight")
-
-
 @query(_TOKENS + "SELECT term, arg_min(chunk_id, (document_id, chunk_index, pos)) AS first_chunk, count(*) AS n FROM tokens GROUP BY term")
 def entity_first_seen(t):
     x = text_tokens(t).withColumn("node_id", F.col("term"))
@@ -260,25 +254,26 @@ def one_hop_expand(t):
 
 
 _LOCAL = """, hops AS (SELECT s.id, list_sort(list(DISTINCT s.type || ': ' || s.name || ' -[' || x.type || ']-> ' || x.neighbor)) AS l FROM entities s JOIN (
-  SELECT src AS id, b.type, e.type || ': ' || e.name AS neighbor FROM both_ways b JOIN entities e ON dst = e.id UNION ALL SELECT entity_id, 'SUBJECT_OF', 'Claim: ' || description FROM claims) x USING (id) WHERE s.type = 'Customer' GROUP BY s.id
+  SELECT src AS id, b.type, e.type || ': ' || e.name AS neighbor FROM both_ways b JOIN entities e ON dst = e.id UNION ALL SELECT entity_id, 'SUBJECT_OF', 'Claim: ' || description FROM claims) x USING (id) GROUP BY s.id
 ), seen AS (SELECT entity_id AS id, list_sort(list(DISTINCT text)) AS texts, list_sort(list(DISTINCT chunk_id)) AS ids FROM evidence JOIN chunks c ON chunk_id = c.id GROUP BY entity_id)"""
 _LOCAL_COLUMNS = "s.id, s.name || ' (' || s.type || ')' AS title, coalesce(array_to_string(l, '|'), '') AS relationships, coalesce(array_to_string(texts, '|'), '') AS sources, coalesce(array_to_string(ids, '|'), '') AS chunk_ids"
 
 
-def customers(t: Trade) -> DataFrame:
-    return t.entities.filter("type = 'Customer'").select("id", F.lit(1.0).alias("score"))
+def matched(t: Trade) -> DataFrame:
+    """All entities, as if a search had found them."""
+    return t.entities.select("id", F.lit(1.0).alias("score"))
 
 
-@query(f"@trade{_LOCAL} SELECT {_LOCAL_COLUMNS} FROM entities s LEFT JOIN hops USING (id) LEFT JOIN seen USING (id) WHERE s.type = 'Customer'")
+@query(f"@trade{_LOCAL} SELECT {_LOCAL_COLUMNS} FROM entities s LEFT JOIN hops USING (id) LEFT JOIN seen USING (id)")
 def local_context(t):
-    x = traverse.local_context(customers(t), t.entities, t.relationships, t.evidence, t.chunks, t.claims)
+    x = traverse.local_context(matched(t), t.entities, t.relationships, t.evidence, t.chunks, t.claims)
     return x.select("id", "title", joined("relationships").alias("relationships"), joined("source_text").alias("sources"), joined("source_chunk_ids").alias("chunk_ids"))
 
 
 @query(f"""@trade{_LOCAL} SELECT {_LOCAL_COLUMNS}, (SELECT string_agg(c.id || ':' || c.level || ':' || c.summary, '|' ORDER BY c.id) FROM memberships m JOIN communities c ON m.community_id = c.id AND m.level = c.level WHERE m.entity_id = s.id) AS communities
-FROM entities s LEFT JOIN hops USING (id) LEFT JOIN seen USING (id) WHERE s.type = 'Customer'""")
+FROM entities s LEFT JOIN hops USING (id) LEFT JOIN seen USING (id)""")
 def drift_context(t):
-    x = traverse.drift_context(customers(t), t.entities, t.relationships, t.evidence, t.chunks, t.memberships, t.communities, t.claims)
+    x = traverse.drift_context(matched(t), t.entities, t.relationships, t.evidence, t.chunks, t.memberships, t.communities, t.claims)
     c = F.transform("communities", lambda c: F.concat_ws(":", c["id"], c["level"].cast("string"), c["summary"]))
     return x.select("id", "title", joined("relationships").alias("relationships"), joined("source_text").alias("sources"), joined("source_chunk_ids").alias("chunk_ids"), joined(c).alias("communities"))
 
@@ -348,9 +343,9 @@ def claims_for_entities(t):
 _CITED = "document_id, c.id AS chunk_id, d.title AS document_name, c.text AS excerpt, 'priority=' || d.priority || '|source=' || c.source || '|status=' || c.status AS metadata"
 
 
-@query(f"@trade SELECT {_CITED} FROM chunks c JOIN documents_ d ON document_id = d.id WHERE c.id IN (SELECT chunk_id FROM evidence WHERE entity_id LIKE 'part:%')")
+@query(f"@trade SELECT {_CITED} FROM chunks c JOIN documents_ d ON document_id = d.id WHERE c.id IN (SELECT chunk_id FROM evidence)")
 def citations_entity(t):
-    refs = t.entities.filter("type = 'Part'").select(F.lit("entity").alias("target_type"), F.col("id").alias("target_id"))
+    refs = t.entities.select(F.lit("entity").alias("target_type"), F.col("id").alias("target_id"))
     return _cited(t, traverse.chunks_of(refs, t.entities, t.relationships, t.evidence, t.claims))
 
 
@@ -438,12 +433,12 @@ def resolve_exact(t):
 
 
 def variants(t: Trade) -> DataFrame:
-    """Suppliers twice: as they are, and as companies with another spelling."""
-    s = t.entities.filter("type = 'Supplier'").select("graph_name", "id", "type", "name", "description")
+    """All entities twice: as they are, and as companies with another spelling."""
+    s = t.entities.select("graph_name", "id", "type", "name", "description")
     return s.unionByName(s.withColumns({"id": F.concat(F.lit("x"), "id"), "name": F.concat(F.upper("name"), F.lit(", Inc."))}))
 
 
-_VARIANTS = """, variants AS (SELECT id, type, name FROM entities WHERE type = 'Supplier' UNION ALL SELECT 'x' || id, type, upper(name) || ', Inc.' FROM entities WHERE type = 'Supplier')"""
+_VARIANTS = """, variants AS (SELECT id, type, name FROM entities UNION ALL SELECT 'x' || id, type, upper(name) || ', Inc.' FROM entities)"""
 
 
 @query(f"@trade{_VARIANTS} SELECT type, norm AS key, string_agg(id, '|' ORDER BY id) AS ids FROM (SELECT *, {_NORM.format(x='name')} AS norm FROM variants) GROUP BY type, norm HAVING count(*) > 1")
@@ -451,14 +446,20 @@ def resolve_normalized(t):
     return resolve.groups(variants(t), True).select("type", "key", joined("ids").alias("ids"))
 
 
-@query(f"""@trade, n AS (SELECT id, type, {_NORM.format(x='name')} AS norm FROM entities), s AS (SELECT * FROM n QUALIFY count(*) OVER (PARTITION BY type, norm) = 1)
-SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.type = b.type AND a.id <> b.id AND substr(a.norm, 1, 1) = substr(b.norm, 1, 1) AND abs(length(a.norm) - length(b.norm)) <= greatest(3, floor(least(length(a.norm), length(b.norm)) * 0.4))
-QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 20""")
+_PAIRS = f""", n AS (SELECT id, type, {_NORM.format(x='name')} AS norm FROM entities), s AS (SELECT * FROM n QUALIFY count(*) OVER (PARTITION BY type, norm) = 1),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, a.norm AS x, b.norm AS y FROM s a JOIN s b ON a.type = b.type AND a.id <> b.id AND substr(a.norm, 1, 1) = substr(b.norm, 1, 1) AND abs(length(a.norm) - length(b.norm)) <= greatest(3, floor(least(length(a.norm), length(b.norm)) * 0.4))
+QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 20)"""
+
+
+@query(f"@trade{_PAIRS} SELECT id_a, id_b FROM pairs")
 def fuzzy_candidates(t):
     return resolve.candidates(t.entities).select("id_a", "id_b")
 
 
-@query()
+@query(f"""@trade{_PAIRS}, m AS (SELECT id_a, id_b, x, y, (1::HUGEINT << length(y)::INTEGER) - 1 AS every,
+  list_transform(string_split(x, ''), lambda c: list_sum(list_transform(range(length(y)), lambda j: CASE WHEN y[j + 1] = c THEN 1::HUGEINT << j::INTEGER ELSE 0::HUGEINT END))::HUGEINT) AS hits FROM pairs
+), v AS (SELECT *, list_reduce(list_prepend(every, hits), lambda v, h: ((v + (v & h)) | (v - (v & h))) & every) AS left_ FROM m)
+SELECT id_a, id_b, round(200.0 * (length(y) - bit_count(left_)) / (length(x) + length(y)), 4)::DOUBLE AS score FROM v""")
 def fuzzy_score_indel(t):
     return resolve.scores(resolve.candidates(t.entities)).select("id_a", "id_b", F.round("score", 4).alias("score"))
 
@@ -476,7 +477,7 @@ def _aliases(t: Trade) -> DataFrame:
 @query("@trade SELECT id AS id_a, 'y' || id AS id_b FROM entities WHERE type = 'Supplier'")
 def resolve_alias(t):
     s = t.entities.filter("type = 'Supplier'")
-    both = s.unionByName(s.withColumns({"id": F.concat(F.lit("y"), "id"), "name": F.concat(F.lit("Alias of "), "name")}))
+    both = t.entities.unionByName(s.withColumns({"id": F.concat(F.lit("y"), "id"), "name": F.concat(F.lit("Alias of "), "name")}))
     return resolve.alias_pairs(both, _aliases(t)).select("id_a", "id_b")
 
 
@@ -521,9 +522,34 @@ def communities_detect(t):
     return communities.detect(communities.project(t.relationships))
 
 
-@query()
+@query("""@trade SELECT DISTINCT a.community_id AS child_id, a.level AS child_level, b.community_id AS parent_id, b.level AS parent_level FROM memberships a JOIN memberships b USING (entity_id) WHERE b.level = a.level + 1""")
 def community_parents(t):
-    return communities.tables(communities.detect(communities.project(t.relationships)))[1]
+    return communities.tables(t.memberships)[1].select("child_id", "child_level", "parent_id", "parent_level")
+
+
+@query("""@trade SELECT entity_id, CASE WHEN level = 0 THEN community_id || '|' ELSE '' END || 'r' || n_regionkey || '|' || 'n' || nation AS path FROM memberships JOIN placed USING (entity_id) JOIN nation ON nation = n_nationkey""")
+def community_paths(t):
+    """Paths of ids, of which equal neighbours fall together."""
+    own = t.memberships.filter("level = 0").select("entity_id", F.col("community_id").alias("n"))
+    x = t.memberships.join(own, "entity_id").join(t.memberships.filter("level = 1").select("entity_id", F.col("community_id").alias("r")), "entity_id")
+    path = communities.normal_path(F.when(F.col("level") == 0, F.array("community_id", "community_id", "r")).otherwise(F.array("community_id", "r")), F.col("n"))
+    return x.select("entity_id", joined(path).alias("path"))
+
+
+@query("""@trade SELECT p.parent_id AS community_id, p.parent_level AS level, string_agg('Community ' || child_id || ' (level ' || c.level || '):' || chr(10) || summary, chr(10) || chr(10) ORDER BY child_id) AS text FROM parents p JOIN communities c ON child_id = c.id AND child_level = c.level GROUP BY ALL""")
+def child_summaries(t):
+    return context.child_context(traverse.community_children(t.communities, t.parents))
+
+
+@query("@trade SELECT count(*) AS community_count, count_if(summary <> '')::BIGINT AS community_summary_count, count_if(report_status = 'failed')::BIGINT AS failed_report_count FROM communities")
+def validation_communities(t):
+    return traverse.community_counts(t.communities)
+
+
+@query("@trade SELECT id, level, summary FROM communities ORDER BY level, id LIMIT 10")
+def summaries_by_key(t):
+    """The ten first of all keys, finest level first."""
+    return traverse.community_summaries(t.communities.select("id", "level"), t.communities, 10)
 
 
 @query("@trade SELECT id, level, report_text AS summary FROM communities WHERE report_status <> 'failed'")
@@ -606,6 +632,47 @@ def batch_pack(t):
     return mapreduce.batches(mapreduce.read_reports(t.communities), 60).select("level", "batch_id", joined("report_ids").alias("report_ids"), "text", "tokens")
 
 
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT) AS r, l_linenumber AS ord, l_quantity::BIGINT AS n, repeat('x', (4 * l_quantity)::INTEGER) AS text FROM lineitem
+), f AS (SELECT id, r, ord, least(n, 60) AS used, least(n, 60) AS given, n, text FROM i WHERE r = 1
+  UNION ALL SELECT i.id, i.r, i.ord, f.used + least(i.n, 60 - f.used), least(i.n, 60 - f.used), i.n, i.text FROM f JOIN i ON i.id = f.id AND i.r = f.r + 1)
+SELECT id, ord, given AS tokens, length(substr(text, 1, (4 * given)::BIGINT)) AS characters, given > 0 AS included, given > 0 AND given < n AS truncated FROM f""")
+def pack_items_truncated(t):
+    x = _items(t).withColumn("text", F.expr("repeat('x', cast(4 * tokens as int))"))
+    return context.pack_items(x, 60, "id", "ord", "tokens", "text").select("id", "ord", "tokens", F.length("text").cast("bigint").alias("characters"), "included", "truncated")
+
+
+_REFS = """x AS (SELECT 0 AS src, place, 'entity' AS target_type, 'e' || (k % 5) AS target_id FROM s UNION ALL SELECT 1, k, 'claim', 'c' || (k % 7) FROM a UNION ALL SELECT 1, k, 'entity', 'e' || (k % 9) FROM a)"""
+
+
+@query(_SCORED + ", " + _REFS + """, f AS (SELECT target_type, target_id, src, place FROM x QUALIFY row_number() OVER (PARTITION BY target_type, target_id ORDER BY src, place) = 1)
+SELECT row_number() OVER (ORDER BY src, place, target_type, target_id)::INTEGER AS pos, target_type, target_id FROM f""")
+def reference_union(t):
+    """References of answers, then of reports, each once in order."""
+    explicit = mapreduce.scored(_answers(t)).select("place", F.explode("references").alias("r")).select("place", "r.*")
+    k = F.col("o_orderkey")
+    each = F.explode(F.array(F.struct(F.lit("claim").alias("target_type"), F.concat(F.lit("c"), k % 7).alias("target_id")), F.struct(F.lit("entity").alias("target_type"), F.concat(F.lit("e"), k % 9).alias("target_id")), F.struct(F.lit("thing").alias("target_type"), F.lit("x").alias("target_id")))).alias("r")
+    reported = t.table("orders").select(k.cast("int").alias("place"), each).select("place", "r.*")
+    return mapreduce.all_references(explicit.select("place", "target_type", "target_id"), reported.select("place", "target_type", "target_id")).select("pos", "target_type", "target_id")
+
+
+@query("""SELECT 'n' || n_nationkey AS id, '{"findings":[{"description":"low","id":"finding:0","rank":1.0,"references":[{"target_id":"nation:' || n_nationkey || '","target_type":"entity"}]},{"description":"high","id":"finding:1","rank":2.0,"references":[{"target_id":"c' || n_nationkey || '","target_type":"claim"}]}],"id":"report:n' || n_nationkey || ':0","rating":7.5,"rating_explanation":"","summary":"S","title":"' || n_name || '"}' AS json FROM nation""")
+def report_json_text(t):
+    return _reports(t).select("id", context.report_json(context.parse_report(F.col("report_json"), F.col("ids"), F.col("id"), F.lit(0))).alias("json"))
+
+
+@query("""SELECT 'doc:conv-' || conv_id || ':pages:' || (s + 1) || '-' || least(s + 2, n) AS chunk_id, s::INTEGER AS index, array_to_string(texts[s + 1:s + 2], chr(10) || chr(10)) AS text,
+  'collections=["talk"]|lang=x|page_end=' || least(s + 2, n) || '|page_start=' || (s + 1) || '|record_ids=["' || array_to_string(roles[s + 1:s + 2], '","') || '"]|source=conv ' || conv_id || '|source_ids=["' || array_to_string(roles[s + 1:s + 2], '","') || '"]' AS metadata
+FROM (SELECT conv_id, count(*) AS n, list(coalesce(text, '') ORDER BY turn, coalesce(text, ''), role) AS texts, list(role ORDER BY turn, coalesce(text, ''), role) AS roles FROM conversations GROUP BY conv_id), LATERAL (SELECT unnest(range(greatest(0, n - 2) + 1)) AS s)""")
+def envelope_windows(t):
+    """Conversations as envelopes of pages, their windows with all metadata."""
+    page = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"), F.col("role"))
+    pages = t.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(page)).alias("p"))
+    envelopes = pages.select(F.transform("p", lambda p: F.struct(p["text"].alias("text"), F.create_map(F.lit("record_id"), p["role"], F.lit("collection"), F.lit("talk")).alias("metadata"))).alias("pages"), F.create_map(F.lit("source"), F.concat(F.lit("conv "), "conv_id"), F.lit("lang"), F.lit("x")).alias("metadata"))
+    x = chunking.with_metadata(chunking.envelope_windows(readers.envelopes(envelopes).select("document_id", "metadata", "pages")))
+    meta = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return x.select("chunk_id", "index", "text", joined(meta).alias("metadata"))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(t):
     x = ingest.windowed_counts(t.table("events"))

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.lineage import ship
+
 GRAPH = "trade"
 KINDS = (("customer", "Customer", "c_custkey", "c_name", "c_mktsegment"), ("supplier", "Supplier", "s_suppkey", "s_name", None), ("part", "Part", "p_partkey", "p_name", "p_type"), ("nation", "Nation", "n_nationkey", "n_name", None), ("region", "Region", "r_regionkey", "r_name", None))
 
@@ -21,6 +23,7 @@ class Trade:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

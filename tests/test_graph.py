@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.engine import Engine
 from tessella.models import FakeChat, HashEmbedder, Scripted
 from tessella.operators import assembly, communities, context, extraction, mapreduce, resolve, search, traverse
+from tessella.plans.trade import Trade
 from tessella.sources import readers, store
 
 
@@ -33,6 +34,77 @@ def test_fuzzy_thresholds(spark):
     assert resolve.fuzzy(ents(spark, ["ABC", "ABD"])).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [max(row[j + 1], 0, row[j] + 1 if x == y else 0) for j, y in enumerate(b)]
+        for j in range(1, len(row)):
+            row[j] = max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_greedy_pairs_against_a_plain_walk(spark):
+    r = np.random.default_rng(2)
+    base = ["".join(r.choice(list("abcde"), int(r.integers(9, 26)))) for _ in range(60)]
+    names = base + [b[:k] + "x" + b[k + 1 :] for b in base for k in (4, 7)][:70]
+    names = [names[i] for i in r.permutation(len(names))]
+    for k in (20, 3):
+        norm = {f"e{i}": n for i, n in enumerate(names)}
+        norm = {i: n for i, n in norm.items() if list(norm.values()).count(n) == 1}
+        gone, seen, want = set(), set(), set()
+        for a in sorted(norm):
+            if a in gone:
+                continue
+            tried = 0
+            for b in sorted(norm):
+                x, y = norm[a], norm[b]
+                if b == a or b in gone or x[0] != y[0] or abs(len(x) - len(y)) > max(3, int(min(len(x), len(y)) * 0.4)):
+                    continue
+                tried += 1
+                if tried > k:
+                    break
+                score = 200 * lcs(x, y) / (len(x) + len(y))
+                if frozenset((a, b)) in seen or score < 85:
+                    continue
+                seen.add(frozenset((a, b)))
+                want.add((a, b, round(score, 2), "merge" if score >= 95 else "review"))
+                if score >= 95:
+                    gone |= {a, b}
+                break
+        got = {(x.id_a, x.id_b, x.score, x.decision) for x in resolve.fuzzy(ents(spark, names), k=k).collect()}
+        assert got == want and len(got) > 20 and {d for *_, d in got} == {"merge", "review"}
+
+
+def test_packed_contexts_against_a_plain_fold(spark):
+    t = Trade(spark, "/root/testdata/sf0.001")
+    edges, lone = traverse.ranked_edges(t.memberships, t.entities, t.relationships, t.claims), traverse.isolated(t.memberships, t.relationships)
+    rows, alone = edges.collect(), lone.collect()
+    about = {e.id: e for e in t.entities.collect()}
+    for budget in (0, 60, 500):
+        got = {(r.community_id, r.level): r for r in context.pack(edges, lone, t.entities, budget).collect()}
+        assert set(got) == {(x.community_id, x.level) for x in rows} | {(x.community_id, x.level) for x in alone}
+        for key, r in got.items():
+            lines, seen, used, out = [], set(), 0, 0
+            tell = lambda i: f"- [{about[i].type}] {about[i].name}: {about[i].description}"
+            own = sorted((x for x in rows if (x.community_id, x.level) == key), key=lambda x: x["rank"])
+            rest = sorted(x.entity_id for x in alone if (x.community_id, x.level) == key)
+            ends = {i for x in own for i in (x.source_id, x.target_id)} | set(rest)
+            for x in own:
+                text = "\n".join([*(tell(i) for i in dict.fromkeys((x.source_id, x.target_id)) if i not in seen), f"  {x.source_name} --[{x.type}]--> {x.target_name}"])
+                n = -(-len(text) // 4)
+                if budget and used + n <= budget:
+                    used, seen = used + n, seen | {x.source_id, x.target_id}
+                    lines.append(text)
+                else:
+                    out += 1
+            for i in rest:
+                n = -(-len(tell(i)) // 4)
+                if budget and used + n <= budget:
+                    used, seen = used + n, seen | {i}
+                    lines.append(tell(i))
+            assert (r.text, r.used_tokens, r.excluded_edges, r.excluded_entities) == ("\n".join(lines), used, out, len(ends - seen))
+
+
 def test_candidates_are_the_first_by_id(spark):
     r = np.random.default_rng(1)
     names = ["".join(r.choice(list("ab"), int(r.integers(1, 14)))) + str(i) for i in range(120)]
