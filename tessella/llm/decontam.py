@@ -16,9 +16,12 @@ words for the threshold are left out (told by buckets of words, which never leav
 Both passes are maps over the scan with the items broadcast; no text is shuffled. Items are taken in parts of
 ITEM_CHARS characters, so what is broadcast is bounded however many there are.
 
-Defined cases: null and empty texts hold nothing; items with fewer than MIN_ITEM_WORDS words are not looked for, as
-prose holds those by chance; repeated items (same id and text) count once; repeated documents give repeated rows;
-null ids stay null; without items or documents the result is empty. Other columns are ignored.
+Items of fewer than SHORT words, which prose resembles by chance, count only as a whole: their threshold is 1.
+
+Defined cases: null and empty texts hold nothing, and items without a word are in nothing; repeated items (same id and text)
+count once; repeated documents give repeated rows; of equal alignments of a pair the one that ends first counts, then the one
+found in the earlier tile; a very long text is read whole, a block at a time; null ids stay null; without items or documents
+the result is empty. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import col, ship
+from tessella.llm.common import col, lean, ship, tidy
 from tessella.llm.words import Lookup, blocks, words
 
 THRESHOLD = 0.5
-MIN_ITEM_WORDS = 8
+#: Items of fewer words are found only where a text has all of their words in a row.
+SHORT = 8
 ITEM_CHARS = 8_000_000
 MATCH, OTHER, GAP = 2, -1, -1
 #: Cells of a row of alignments that are worked on at once.
@@ -116,14 +120,20 @@ class Index:
             s = e
 
 
+def asked(size: np.ndarray | int, threshold: float) -> np.ndarray:
+    """The threshold of items of so many words."""
+    return np.where(np.asarray(size) < SHORT, 1.0, threshold)
+
+
 class Items:
     """Test items by their words, and the indexes of their seeds: (item, gram) of words and of pairs."""
 
     def __init__(self, ids: list, hashes: list[np.ndarray], seeds: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD):
-        self.ids, self.hashes, self.threshold = ids, hashes, threshold
+        self.ids, self.hashes = ids, hashes
         self.index = [Index(gram, item) for item, gram in seeds]
         self.size = np.fromiter((len(h) for h in hashes), np.int64, len(hashes))
-        self.span = np.maximum(1, np.floor(self.size * (3 - 2 * threshold) + 1e-9).astype(np.int64))
+        self.threshold = asked(self.size, threshold)
+        self.span = np.maximum(1, np.floor(self.size * (3 - 2 * self.threshold) + 1e-9).astype(np.int64))
         self.first = np.cumsum(self.size) - self.size
         self.bucket = (np.concatenate(hashes or [np.zeros(0, np.uint64)]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -149,7 +159,7 @@ class Items:
                     seen[(row << BUCKET_BITS) + bucket[at]] = True
                     at, row = _ragged(self.first[item[part]], self.size[item[part]])
                     held = np.bincount(row[seen[(row << BUCKET_BITS) + self.bucket[at]]], minlength=n)
-                    ok = held >= self.threshold * self.size[item[part]] - 1e-9
+                    ok = held >= self.threshold[item[part]] * self.size[item[part]] - 1e-9
                     if ok.any():
                         yield text[part][ok], item[part][ok], lo[part][ok], hi[part][ok]
 
@@ -161,7 +171,7 @@ class Items:
             for text, item, lo, hi in self._tiles(w):
                 score, ei, ew = local_align([self.hashes[i] for i in item], [w.hash[x:y] for x, y in zip(lo, hi, strict=True)])
                 share = score / (MATCH * self.size[item])
-                for c in np.flatnonzero(share >= self.threshold):
+                for c in np.flatnonzero(share >= self.threshold[item]):
                     k, i, x = int(text[c]), int(item[c]), int(lo[c])
                     new = (float(share[c]), -(x + int(ew[c])), x, int(ei[c]))
                     best[k, i] = max(new, best.get((k, i), new))
@@ -186,7 +196,7 @@ def _counts(looks: list[Lookup]):
         k = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(both[k])], ["gram", "n"])
 
-    return run
+    return lean(run)
 
 
 def choose(words_n: np.ndarray, pairs_n: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +231,7 @@ def seeds(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> It
     ship(spark)
     for ids, hashes, w in _parts(items):
         g, first = w.grams(2)
-        keep = [k for k in range(len(ids)) if len(hashes[k]) >= MIN_ITEM_WORDS]
+        keep = [k for k in range(len(ids)) if len(hashes[k])]
         if not keep:
             continue
         ids, hashes, pairs = [ids[k] for k in keep], [hashes[k] for k in keep], [g[first[k] : first[k + 1]] for k in keep]
@@ -233,7 +243,7 @@ def seeds(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> It
         n_w, n_p = count[: len(looks[0].keys)], count[len(looks[0].keys) :]
         chosen = [([], []), ([], [])]
         for k, (h, p) in enumerate(zip(hashes, pairs, strict=True)):
-            places = choose(n_w[np.searchsorted(looks[0].keys, h)], n_p[np.searchsorted(looks[1].keys, p)], threshold)
+            places = choose(n_w[np.searchsorted(looks[0].keys, h)], n_p[np.searchsorted(looks[1].keys, p)], float(asked(len(h), threshold)))
             for (item, gram), own, at in zip(chosen, (h, p), places, strict=True):
                 item.append(np.full(len(at), k))
                 gram.append(own[at])
@@ -260,7 +270,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.float64() if c == "score" else pa.int64()) for c in rows], list(rows))
 
-        found = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text")).mapInArrow(run, FOUND)
+        found = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text")).mapInArrow(lean(run), FOUND)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -269,6 +279,7 @@ def _flag(shared) -> Column:
     @F.arrow_udf("boolean")
     def dirty(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
+            tidy(0.5)
             hit = np.zeros(len(t), np.bool_)
             for found in shared.value.find(t.to_pylist()):
                 hit[found[0]] = True
