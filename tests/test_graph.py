@@ -468,6 +468,26 @@ def test_a_crash_between_renames_loses_no_table(spark, tmp_path):
     s.delete_communities("g")
 
 
+def test_artifacts_lines_and_runs(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    tables = {"entities": ents(spark, ["Alice", "Bob"]), "claims": spark.createDataFrame([("g", "c1", "e0")], "graph_name string, id string, entity_id string")}
+    store.save_artifact(tables, f"{at}/artifact")
+    schemas = {name: ", ".join(f"{c} {t}" for c, t in df.dtypes) for name, df in tables.items()}
+    back = store.load_artifact(spark, f"{at}/artifact", schemas | {"missing": "a string"})
+    assert set(back) == set(tables) and all(sorted(back[n].collect()) == sorted(df.collect()) for n, df in tables.items())
+    (tmp_path / "lines.json").write_text('{"a": 1, "b": "x"}\n\n{"a": 2}\n')
+    assert sorted((r.a, r.b) for r in readers.json_lines(spark, f"{at}/lines.json", "a int, b string").collect()) == [(1, "x"), (2, None)]
+    readers.write_run(spark.createDataFrame([(1, "answer")], "id int, text string"), {"model": "fake", "at": 3}, f"{at}/run")
+    assert spark.read.json(f"{at}/run/results").first().text == "answer"
+    assert json.loads(spark.read.text(f"{at}/run/manifest").first().value) == {"at": 3, "model": "fake"}
+
+
+def test_claims_need_their_entity(spark, tmp_path):
+    s = store.GraphStore(spark, f"file://{tmp_path}/g")
+    claims = spark.createDataFrame([("g", "c1", "e0", "k"), ("g", "c2", "nobody", "k")], "graph_name string, id string, entity_id string, claim_type string")
+    assert s.write({"entities": ents(spark, ["Alice"]), "claims": claims}) == {"entities": 1, "claims": 1}
+
+
 def test_levels(spark):
     c = spark.createDataFrame([(0, "a"), (2, "b")], "level int, id string")
     assert [communities.level_of(c, x) for x in (None, "all", "finest", "coarsest", 1)] == [None, None, 0, 2, 1]
