@@ -16,7 +16,8 @@ A text is accepted if one language's posterior is ACCEPT or more.
 
 Defined cases: a null or empty text, or one without letters, is `und` and not accepted, with probability 0; texts of
 any length count whole; without labelled rows everything is `und`; null or empty addresses give no evidence beyond the
-prior of all texts; null ids stay null; equal rows get equal decisions, repeated rows stay. Other columns don't matter.
+prior of all texts; null ids stay null; equal rows get equal decisions, repeated rows stay; of languages that tie the first by
+name counts, `und` last; an empty table gives an empty result. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import col, cut, fresh, ship
+from tessella.llm.common import col, cut, fresh, lean, ship
 from tessella.llm.words import BLOCK_CHARS, blocks
 
-#: The text model is counted on about so many labelled rows.
+#: The text model is counted on about so many labelled rows, shared out evenly: of a rare language all rows count.
 SAMPLE_ROWS = 20_000
 BINS = 1 << 16
 ALPHA = 0.1
@@ -102,13 +103,17 @@ class TextModel:
 
 
 def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """The text model of about sample_rows labelled rows, chosen by hash."""
+    """The text model of about sample_rows labelled rows, chosen by hash, as many of each language where it has them."""
     ship(docs.sparkSession)
     rows = docs.select(F.lower(F.trim(col(label).cast("string"))).alias("label"), col("text").cast("string").alias("text")).filter("label != '' and text != ''")
-    n = docs.filter(col(label).isNotNull()).count()
-    share = min(1.0, sample_rows / n) if n else 1.0
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 31)) < int(share * (1 << 31)))
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if sum(counts.values()) > sample_rows:
+        share, left, n = F.lit(0), sample_rows, len(counts)
+        for name in sorted(counts, key=lambda x: (counts[x], x)):
+            take = min(1.0, max(1, left // n) / counts[name])
+            left, n = left - int(take * counts[name]), n - 1
+            share = F.when(F.col("label") == name, int(take * (1 << 31))).otherwise(share)
+        rows = rows.filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 31)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
@@ -121,7 +126,7 @@ def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([x.tobytes() for x in by.values()], pa.binary())], ["label", "counts"])
 
     found: dict[str, np.ndarray] = {}
-    for r in rows.repartition(8).mapInArrow(count, "label string, counts binary").collect():
+    for r in rows.repartition(8).mapInArrow(lean(count), "label string, counts binary").collect():
         found[r.label] = found.get(r.label, 0) + np.frombuffer(r.counts, np.int64)
     names = sorted(x for x in found if x != UND)
     return TextModel(names, np.array([found[x] for x in names]).reshape(-1, BINS))
@@ -155,7 +160,7 @@ def _scored(docs: DataFrame, model: TextModel, id: str, text: str, address: str
         (_declared(col(markup), model.languages) if markup else F.lit(None).cast("string")).alias("declared"),
         col(text).cast("string").alias("text"),
     )
-    return cut(rows.mapInArrow(run, "id bigint, key bigint, host string, declared string, letters bigint, " + ", ".join(f"ll_{i} double" for i in range(k))))
+    return cut(rows.mapInArrow(lean(run), "id bigint, key bigint, host string, declared string, letters bigint, " + ", ".join(f"ll_{i} double" for i in range(k))))
 
 
 def _key(text: str, address: str | None) -> Column:
@@ -228,7 +233,9 @@ def of_documents(docs: DataFrame) -> DataFrame:
 
 
 def of_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pages, by the text model of documents; what is scored is the html without its tags."""
+    """Pages (page_id, language, probability, accepted), by the text model of documents; what is scored is the html without
+    its tags. A null or empty html, or one without letters outside of tags, is `und` and not accepted; null ids and addresses,
+    repeated pages, empty tables, very long pages and other columns are as in the module's cases."""
     text = F.regexp_replace(col("html").cast("string"), r"(?is)<(script|style|nav)\b.*?</\1>|<[^>]*>", " ")
     (name,) = fresh(pages, "_text")
     return identify(pages.withColumn(name, text), train(docs), "page_id", name, "url", "html")
