@@ -12,7 +12,8 @@ Running sums are made in two levels (totals of hash buckets, then rows within a
 spread over many tasks. Text is shuffled once, by (source, bucket); a bucket's slots come with it in an array.
 
 Defined cases: a null source counts as ''; a document counts ceil(characters / 4) tokens, 1 at least, null and empty
-texts too; a null id hashes as ''; equal rows are interchangeable; without rows the result is empty. Without given
+texts too; one longer than a block has the block that it begins in to itself, but for what comes before; a null id hashes
+as ''; equal rows are interchangeable; without rows the result is empty. Without given
 weights a source weighs tokens ** temperature. A source whose given weight is missing or 0 is left out. Input columns
 named `slot` or `block` are replaced.
 """

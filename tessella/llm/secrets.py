@@ -8,7 +8,8 @@ place, SHA-256 and first characters.
 A map over the scan without any shuffle.
 
 Defined cases: null and empty texts have no rows; repeated documents give repeated rows; a null id stays null; where
-two rules match at one place both are reported; texts of any length are scanned whole. Other columns are ignored.
+two rules match at one place both are reported; texts of any length are scanned whole; an empty table gives an empty result.
+Other columns are ignored, also ones named like those of the result.
 """
 
 from __future__ import annotations

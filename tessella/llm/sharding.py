@@ -6,7 +6,7 @@ its permutation that nobody has claimed. The slots of two shards differ by one a
 nearly all slots of the others stay. The filled table has a fixed size, is broadcast, and a document's shard is one
 lookup by its hashed key: no shuffle, no Python.
 
-Defined cases: a null key counts as the empty string; equal keys get equal shards; an empty table gives an empty
+Defined cases: a null key counts as the empty string; equal keys get equal shards, whatever their texts; an empty table gives an empty
 result; input columns named like an output column (`slot`, `shard`) are replaced.
 """
 

@@ -7,10 +7,12 @@ constant time where an id's next chunk is, so any token is read without decoding
 Layout, little-endian: u32 tokens, u8 width, u8 levels, u16 0; per level u32 count, the chunks, and on all levels
 but the last the bitmap in 64-bit words and the directory in u32.
 
-Texts are tokenised by byte-pair ranks of a public vocabulary file, whose path is a parameter; a map over the scan.
+Texts are tokenised by byte-pair ranks of a public vocabulary file, whose path is a parameter; a map over the scan. Where
+workers are on other machines than the driver, Spark hands them the file.
 
 Defined cases: a null text gives null tokens and codes; an empty one 0 tokens and codes without levels; repeated rows
-give repeated rows, null ids stay null; a text of any length is tokenised whole. Other columns are ignored.
+give repeated rows, null ids stay null; a text of any length is tokenised whole; an empty table gives an empty result. Other
+columns are ignored, also ones named `codes` or `n_tokens`.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,13 +131,18 @@ def tokenize(text: str, path: str = VOCABULARY) -> np.ndarray:
 def token_table(docs: DataFrame, path: str = VOCABULARY, width: int = WIDTH) -> DataFrame:
     """doc_id, n_tokens INT, codes BINARY of each document."""
     ship(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    sent = not sc.master.startswith("local[")
+    if sent:
+        sc.addFile(path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = SparkFiles.get(os.path.basename(path)) if sent else path
         for batch in batches:
             n, codes = [], []
             for t in batch.column(1):
-                ids = None if (s := t.as_py()) is None else tokenize(s, path)
+                ids = None if (s := t.as_py()) is None else tokenize(s, at)
                 n.append(None if ids is None else len(ids))
                 codes.append(None if ids is None else encode(ids, width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(codes, pa.binary())], schema=schema)
