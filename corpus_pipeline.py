@@ -1,5 +1,5 @@
 """The corpus pipeline: documents of a known language, one of each group of near duplicates, without benchmark passages,
-put into the order of a mixture by target weights and placed in shards. Mixing leaves no document out.
+given their places in a mixture by target weights and placed in shards. Mixing leaves no document out.
 Each stage takes what the one before kept; the last two add columns.
 
 Defined cases: a document with a null or empty text has no language and goes in the first stage; one with a null id stays
@@ -31,7 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each with its place in the mixture; sharding has a `slot` of its own, so it is `mixture_slot`.
+    """All documents, each with its place in op8_mixing's golden-ratio schedule, carried on until all sources are used up;
+    sharding has a `slot` of its own, so it is `mixture_slot`.
     Columns of documents that mixing would replace are put aside and come back."""
     own = without(docs, "mixture_slot")
     aside = {c: name for c, name in zip(own.columns, fresh(own, *(f"_own_{c}" for c in own.columns)), strict=True) if c.lower() in ("slot", "block")}

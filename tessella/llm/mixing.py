@@ -4,9 +4,10 @@ Slot t of the schedule takes the golden-ratio point frac(t * phi), in 32-bit int
 cumulative weights holds it. The k-th slot of a source gets the source's k-th block: its documents in hashed order,
 cut where their running tokens pass multiples of block_tokens. The schedule ends before the first slot whose source
 has run out, so nothing is repeated, any stretch of it has the target weights, and the source that is scarcest for
-its weight is used up. With exhaust, a source that has run out gives up its place while the others go on by their
-weights until all are used up, so that nothing is left out: block k of a source of weight w stands at (k + phase) / w,
-and the slots number the blocks of all sources in that order.
+its weight is used up. With exhaust the same schedule goes on until all are used up, so that nothing is left out: points of a
+source that has run out are passed over, slots number the points that are taken, and up to where the schedule would have
+ended the mixture is the same. It goes on in stretches, each of at most STRETCH points for a block that is left; after a
+stretch the sources that are left share the whole interval by their weights, so that one of tiny weight gets its points too.
 
 Running sums are made in two levels (totals of hash buckets, then rows within a bucket), so that a hot source is
 spread over many tasks. Text is shuffled once, by (source, bucket); a bucket's slots come with it in an array.
@@ -29,12 +30,14 @@ BLOCK_TOKENS = 16384
 TEMPERATURE = 0.7
 GOLDEN = 2654435769  # 2 ** 32 / phi
 FULL = 1 << 32
+#: Points of a stretch for each block that is left, at most; blocks that a source may lag behind its share of a stretch.
+STRETCH, LAG = 4, 4
 #: Rows of a bucket, about; slots of a chunk of the schedule.
 BUCKET_ROWS, CHUNK = 4096, 1 << 16
 
 
-def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
-    """Slots 0 .. n_slots - 1 as (slot, skey, block). sources: (skey, weight), weights of any scale."""
+def schedule(sources: DataFrame, n_slots: int, start: int = 0) -> DataFrame:
+    """Slots start .. start + n_slots - 1 as (slot, skey, block), blocks from 0. sources: (skey, weight), weights of any scale."""
     spark = sources.sparkSession
     by_name = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)
     everyone = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -46,9 +49,9 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
         .filter("hi > lo")
         .select("skey", "lo", "hi", F.explode(F.expr("sequence(shiftright(lo, 20), shiftright(hi - 1, 20))")).alias("cell"))
     )
-    points = spark.range(n_slots).select(
-        F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}L) % {FULL}L").alias("u"), F.expr(f"id div {CHUNK}").alias("chunk")
-    )
+    # The multiplier less 2 ** 32 gives the same points, and no id overflows.
+    u = F.expr(f"pmod(id % {FULL}L * {GOLDEN - FULL}L, {FULL}L)")
+    points = spark.range(start, start + n_slots).select(F.col("id").alias("slot"), u.alias("u"), F.expr(f"id div {CHUNK}").alias("chunk"))
     hit = (
         points.withColumn("cell", F.expr("shiftright(u, 20)")).join(spans, "cell").filter("u >= lo and u < hi").select("slot", "chunk", "skey")
     )
@@ -63,18 +66,26 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
 
 def whole_schedule(sources: DataFrame) -> DataFrame:
     """The slots of all blocks, as (slot, skey, block). sources: (skey, weight, blocks), weights of any scale."""
-    sources = sources.filter("weight > 0 and blocks > 0")
-    n, last = sources.agg(F.sum("blocks"), F.max(F.col("blocks") / F.col("weight"))).first()
-    chunks = (n or 0) // CHUNK + 1
-    runs = sources.withColumn("run", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {CHUNK})")))
-    blocks = runs.withColumn("block", F.explode(F.expr(f"sequence(run * {CHUNK}, least(blocks, (run + 1) * {CHUNK}) - 1)")))
-    # The phases keep sources of one weight apart.
-    at = (F.col("block") + F.expr(f"({hash_sql('skey')} + 0.5D) / {FULL}L")) / F.col("weight")
-    placed = blocks.select("skey", "block", at.alias("at")).withColumn("chunk", F.floor(F.col("at") * F.lit(chunks / (last or 1.0))))
+    left = cut(sources.filter("weight > 0 and blocks > 0").select("skey", "weight", "blocks", F.lit(0).cast("bigint").alias("done")))
+    taken, start = left.select(F.col("done").alias("at"), "skey", F.col("done").alias("block")).limit(0), 0
+    while True:
+        need = F.max((F.col("blocks") - F.col("done") + LAG) / F.col("weight")) * F.sum("weight")
+        n, enough = left.agg(F.sum(F.col("blocks") - F.col("done")), need).first()
+        if not n:
+            break
+        # More points than blocks, so that a source runs out in each stretch.
+        length = max(n + 1, int(min(STRETCH * n, enough)))
+        hits = schedule(left.select("skey", "weight"), length, start).join(left.select("skey", "blocks", "done"), "skey")
+        got = cut(hits.withColumn("block", F.col("block") + F.col("done")).filter("block < blocks").select(F.col("slot").alias("at"), "skey", "block"))
+        taken, start = taken.unionByName(got), start + length
+        counts = got.groupBy("skey").agg(F.count("*").alias("n"))
+        done = F.col("done") + F.coalesce("n", F.lit(0))
+        left = cut(left.join(counts, "skey", "left").select("skey", "weight", "blocks", done.alias("done")).filter("done < blocks"))
+    placed = taken.withColumn("chunk", F.expr(f"at div {CHUNK}"))
     before = (
         placed.groupBy("chunk").count().select("chunk", (F.sum("count").over(Window.orderBy("chunk")) - F.col("count")).alias("before"))
     )
-    within = F.row_number().over(Window.partitionBy("chunk").orderBy("at", "skey")) - 1
+    within = F.row_number().over(Window.partitionBy("chunk").orderBy("at")) - 1
     return placed.join(before, "chunk").select((F.col("before") + within).alias("slot"), "skey", "block")
 
 

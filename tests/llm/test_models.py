@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import langid, quality, sharding
+from tessella.llm import langid, mixing, quality, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +160,12 @@ def test_pipeline_mixing_keeps_all(spark, corpus):
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in skewed.collect())
 
 
+def test_pipeline_mixing_is_the_schedule_of_op8(spark, corpus):
+    ends = {(r.doc_id, r.slot) for r in mixing.mix(corpus).collect()}
+    whole = {(r.doc_id, r.mixture_slot) for r in corpus_pipeline.source_mixing(spark, corpus, SF).collect()}
+    assert ends == {x for x in whole if x[1] <= max(s for _, s in ends)} and len(ends) < len(whole)
+
+
 def test_pipeline_against_brute_force(spark, corpus):
     from tests.llm.test_join import brute, grams
 

@@ -88,6 +88,47 @@ def test_mixing_to_the_end_keeps_all(spark):
     assert mixing.mix(df.limit(0), exhaust=True).count() == 0
 
 
+def golden(weights, blocks):
+    """The schedule of all blocks, point by point, as (source, block) in order; the number of stretches."""
+    out, done, start, stretches = [], Counter(), 0, 0
+    while left := sorted(s for s in blocks if done[s] < blocks[s]):
+        total, n = sum(weights[s] for s in left), sum(blocks[s] - done[s] for s in left)
+        length = max(n + 1, int(min(mixing.STRETCH * n, max((blocks[s] - done[s] + mixing.LAG) / weights[s] for s in left) * total)))
+        ends = [int(round(sum(weights[x] for x in left[: i + 1]) / total, 9) * 2**32) for i in range(len(left))]
+        for t in range(start, start + length):
+            s = left[next(i for i, e in enumerate(ends) if t * mixing.GOLDEN % 2**32 < e)]
+            if done[s] < blocks[s]:
+                out.append((s, done[s]))
+                done[s] += 1
+        start, stretches = start + length, stretches + 1
+    return out, stretches
+
+
+def test_mixing_to_the_end_follows_the_golden_ratio(spark):
+    r = random.Random(8)
+    sizes = {"a": 900, "b": 500, "c": 60, None: 240}
+    rows = [(k, "x" * r.randrange(1, 400), s, "s", "t", 1) for k, s in enumerate([s for s, n in sizes.items() for _ in range(n)])]
+    df, key = docs(spark, rows), lambda x: (x.doc_id, x.slot, x.block)
+    # Up to where the first source runs out it is the mixture that ends there.
+    whole, ends = ({key(x) for x in mixing.mix(df, block_tokens=500, exhaust=e).collect()} for e in (True, False))
+    assert 0 < len(ends) < len(whole) == len(rows)
+    assert {x for x in whole if x[1] <= max(s for _, s, _ in ends)} == ends
+    for weights, blocks in [
+        ({"": 5.0, "a": 3.0, "b": 1.0}, {"": 3, "a": 90, "b": 70}),
+        ({"a": 1e-12, "b": 7.0, "c": 1e-13, "d": 2.0}, {"a": 40, "b": 300, "c": 9, "d": 5}),
+        ({"a": 1.0}, {"a": 5}),
+    ]:
+        sources = spark.createDataFrame([(s, weights[s], blocks[s]) for s in blocks], "skey string, weight double, blocks bigint")
+        got = mixing.whole_schedule(sources).orderBy("slot").collect()
+        expected, stretches = golden(weights, blocks)
+        assert [x.slot for x in got] == list(range(sum(blocks.values())))
+        assert [(x.skey, x.block) for x in got] == expected and (stretches > 1) == (1e-12 in weights.values())
+    # Points far out, where a product with the multiplier no longer fits.
+    far = mixing.schedule(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "skey string, weight double"), 50, 2**32 - 20).collect()
+    third = int(round(1 / 3, 9) * 2**32)
+    assert {x.slot: x.skey for x in far} == {t: "a" if t * mixing.GOLDEN % 2**32 < third else "b" for t in range(2**32 - 20, 2**32 + 30)}
+
+
 def test_codes_give_any_token():
     r = np.random.default_rng(2)
     for n in (0, 1, 63, 64, 65, 511, 513, 5000):
