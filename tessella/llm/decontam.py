@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import col, lean, ship, tidy
-from tessella.llm.words import Lookup, blocks, words
+from tessella.llm.words import Lookup, blocks, portions, words
 
 THRESHOLD = 0.5
 #: Items of fewer words are found only where a text has all of their words in a row.
@@ -163,10 +163,10 @@ class Items:
                     if ok.any():
                         yield text[part][ok], item[part][ok], lo[part][ok], hi[part][ok]
 
-    def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+    def find(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, start and end character in the lower-case text) of each text with an alignment of the threshold or more."""
-        for a, b in blocks(texts):
-            w = words(texts[a:b])
+        for a, own in ((at + a, own[a:b]) for at, own in portions(texts) for a, b in blocks(own)):
+            w = words(own)
             best: dict[tuple[int, int], tuple] = {}
             for text, item, lo, hi in self._tiles(w):
                 score, ei, ew = local_align([self.hashes[i] for i in item], [w.hash[x:y] for x, y in zip(lo, hi, strict=True)])
@@ -187,9 +187,8 @@ def _counts(looks: list[Lookup]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(len(look.keys), np.int64) for look in looks]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in blocks(texts):
-                w = words(texts[a:b])
+            for own in (own[a:b] for _, own in portions(batch.column(0)) for a, b in blocks(own)):
+                w = words(own)
                 for t, look, grams in zip(total, looks, (w.hash, w.grams(2)[0]), strict=True):
                     t += np.bincount(look.find(grams)[1], minlength=len(t))
         both = np.concatenate(total)
@@ -264,7 +263,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             own = shared.value
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), defaultdict(list)
-                for k, i, score, s, e in own.find(batch.column(1).to_pylist()):
+                for k, i, score, s, e in own.find(batch.column(1)):
                     for name, v in zip(("doc_id", "item_id", "score", "start_char", "end_char"), (ids[k], own.ids[i], score, s, e), strict=True):
                         rows[name].append(v)
                 if rows:
@@ -281,7 +280,7 @@ def _flag(shared) -> Column:
         for t in texts:
             tidy(0.5)
             hit = np.zeros(len(t), np.bool_)
-            for found in shared.value.find(t.to_pylist()):
+            for found in shared.value.find(t):
                 hit[found[0]] = True
             yield pa.array(hit)
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import col, cut, fresh, lean, partitions, ship, tidy
 from tessella.llm.graph import components, roots, rows_of
 from tessella.llm.setjoin import few_join, jaccard_join, least
-from tessella.llm.words import Lookup, blocks, mix64, words
+from tessella.llm.words import Lookup, blocks, mix64, portions, words
 
 N = 4
 #: Of all pairs of sf0.1 at 0.3 and above, those with 0.7 of the words in common order are taken for edited copies: 0.44
@@ -65,16 +65,17 @@ BLOOM_BITS = 26
 _U = np.uint64
 
 
-def sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
+def sets(texts: list[str | None] | pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(place, sorted distinct n-gram hashes) of each text that has some."""
-    for a, b in blocks(texts):
-        g, first = words(texts[a:b]).grams(n)
-        for k in range(b - a):
-            if first[k] < first[k + 1]:
-                s = np.sort(g[first[k] : first[k + 1]])
-                keep = np.ones(len(s), np.bool_)
-                np.not_equal(s[1:], s[:-1], out=keep[1:])
-                yield a + k, s[keep]
+    for at, own in portions(texts):
+        for a, b in blocks(own):
+            g, first = words(own[a:b]).grams(n)
+            for k in range(b - a):
+                if first[k] < first[k + 1]:
+                    s = np.sort(g[first[k] : first[k + 1]])
+                    keep = np.ones(len(s), np.bool_)
+                    np.not_equal(s[1:], s[:-1], out=keep[1:])
+                    yield at + a + k, s[keep]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -106,11 +107,13 @@ def _survey(n: int, buckets: int):
 
     def repeats(held: list[np.ndarray]) -> pa.RecordBatch | None:
         g = np.concatenate(held)
+        held.clear()
         g.sort()
+        same = g[1:] == g[:-1]
+        g = g[np.append(same, False) | np.append(False, same)]
         begin = np.flatnonzero(np.diff(g, prepend=g[:1] ^ _U(1)))
-        count = np.diff(np.append(begin, len(g)))
-        many = count > 1
-        g, count = g[begin[many]], count[many].astype(np.uint32)
+        count = np.diff(np.append(begin, len(g))).astype(np.uint32)
+        g = g[begin]
         bucket = (g % _U(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         g, count, bucket = g[order], count[order], bucket[order]
@@ -124,7 +127,7 @@ def _survey(n: int, buckets: int):
         held, many, seen = [], 0, set()
         for batch in batches:
             keys, sizes, kin = [None] * len(batch), [0] * len(batch), [None] * len(batch)
-            for k, s in sets(batch.column(2).to_pylist(), n):
+            for k, s in sets(batch.column(2), n):
                 keys[k], sizes[k], kin[k] = set_key(s), len(s), bands(s)
                 if keys[k] not in seen:
                     seen.add(keys[k])
@@ -216,7 +219,7 @@ def _prefixes(order: Broadcast, n: int, threshold: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in (b.column(0).slice(a, SLICE) for b in batches for a in range(0, len(b), SLICE)):
             tokens, places, keys, sizes, seen = [], [], [], [], set()
-            for _, s in sets(texts.to_pylist(), n):
+            for _, s in sets(texts, n):
                 key = set_key(s)
                 if key not in seen:
                     seen.add(key)
@@ -405,7 +408,7 @@ def _whole(order: Broadcast, wanted: Broadcast, n: int):
             for x in _bloom_places(h):
                 ok &= (wanted.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(np.bool_)
             keys, raw, seen = [], [], set()
-            for _, s in sets(batch.column(1).filter(pa.array(ok)).to_pylist(), n):
+            for _, s in sets(batch.column(1).filter(pa.array(ok)), n):
                 key = set_key(s)
                 if key not in seen:
                     seen.add(key)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import col, cut, fresh, lean, ship
-from tessella.llm.words import BLOCK_CHARS, blocks
+from tessella.llm.words import BLOCK_CHARS, blocks, portions
 
 #: The text model is counted on about so many labelled rows, shared out evenly: of a rare language all rows count.
 SAMPLE_ROWS = 20_000
@@ -91,14 +91,15 @@ class TextModel:
         p = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * BINS)
         self.table = np.log(np.vstack([p, np.full((1, BINS), 1 / BINS)])).T.astype(np.float32).copy()
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (texts x languages) and numbers of letters."""
         out, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for text, h in trigrams(texts):
-            if len(h):
-                begin = np.flatnonzero(np.diff(text, prepend=-1))
-                out[text[begin]] += np.add.reduceat(self.table[h], begin, axis=0, dtype=np.float64)
-                letters += np.bincount(text, minlength=len(texts))
+        for first, own in portions(texts):
+            for text, h in trigrams(own):
+                if len(h):
+                    begin = np.flatnonzero(np.diff(text, prepend=-1))
+                    out[first + text[begin]] += np.add.reduceat(self.table[h], begin, axis=0, dtype=np.float64)
+                    letters[first : first + len(own)] += np.bincount(text, minlength=len(own))
         return out * TEMPER, letters
 
 
@@ -118,11 +119,13 @@ def train(docs: DataFrame, label: str = "lang", sample_rows: int = SAMPLE_ROWS)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in set(names):
-                total = by.setdefault(name, np.zeros(BINS, np.int64))
-                for _, h in trigrams([t for t, x in zip(texts, names, strict=True) if x == name]):
-                    total += np.bincount(h, minlength=BINS)
+            names = batch.column(0).to_pylist()
+            for first, texts in portions(batch.column(1)):
+                own = names[first : first + len(texts)]
+                for name in set(own):
+                    total = by.setdefault(name, np.zeros(BINS, np.int64))
+                    for _, h in trigrams([t for t, x in zip(texts, own, strict=True) if x == name]):
+                        total += np.bincount(h, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([x.tobytes() for x in by.values()], pa.binary())], ["label", "counts"])
 
     found: dict[str, np.ndarray] = {}
@@ -150,7 +153,7 @@ def _scored(docs: DataFrame, model: TextModel, id: str, text: str, address: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ll, letters = shared.value.score(batch.column(4).to_pylist())
+            ll, letters = shared.value.score(batch.column(4))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(letters), *(pa.array(ll[:, i]) for i in range(k))], ["id", "key", "host", "declared", "letters", *(f"ll_{i}" for i in range(k))])
 
     rows = docs.select(

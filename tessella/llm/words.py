@@ -11,9 +11,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters that are worked on at once; a longer text is cut between words, never inside one.
-BLOCK_CHARS = 1 << 20
+#: Characters that are worked on at once; a longer text is cut between words, never inside one. Results don't depend on it,
+#: a worker's memory does: for each character some arrays of 8 bytes are held.
+BLOCK_CHARS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -37,8 +40,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([of, np.zeros(n - len(of), np.bool_)]), mix64(np.arange(1, 0x3FFFF + 1, dtype=_U) * _U(_BASE))
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n or more; kept for blocks, but not for what is longer."""
+    return _usual() if n <= BLOCK_CHARS + 1 else _progressions(n)
+
+
+@cache
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _progressions(BLOCK_CHARS + 1)
+
+
+def _progressions(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         b = np.full(n, _BASE, _U)
         b[0] = 1
@@ -53,10 +65,7 @@ def _words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flag = is_word[cp]
     step = np.flatnonzero(np.diff(flag, prepend=False))
     start, end = step[0::2], step[1::2]
-    size = BLOCK_CHARS
-    while size < len(cp):
-        size *= 2
-    power, inverse = _powers(size)
+    power, inverse = _powers(len(cp))
     v = value[np.where(flag, cp, 0)]
     v *= power[: len(cp)]
     np.cumsum(v, out=v)
@@ -131,10 +140,10 @@ def _all(texts: list[str | None]) -> Words:
 
 
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of BLOCK_CHARS in all, or of one text that is longer."""
+    """Ranges of texts of BLOCK_CHARS in all, with a blank after each, or of one text that is longer."""
     a = size = 0
     for i, t in enumerate(texts):
-        n = len(t) if t else 0
+        n = len(t) + 1 if t else 1
         if i > a and size + n > BLOCK_CHARS:
             yield a, i
             a, size = i, 0
@@ -143,6 +152,23 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+
+def portions(texts: list[str | None] | pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts and the number of the first, of an Arrow column BLOCK_CHARS bytes at a time or one text that is longer: as
+    strings, all texts of a batch would be a few times its size."""
+    if not isinstance(texts, pa.Array) or pa.types.is_null(texts.type):
+        yield 0, texts if isinstance(texts, list) else texts.to_pylist()
+        return
+    a = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        if i > a and size + n + 1 > BLOCK_CHARS:
+            yield a, texts.slice(a, i - a).to_pylist()
+            a, size = i, 0
+        size += n + 1
+    if a < len(texts):
+        yield a, texts.slice(a).to_pylist()
+
+
 class Lookup:
     """Which of many hashes are among given ones, and which."""
 

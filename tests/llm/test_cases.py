@@ -3,16 +3,20 @@
 import hashlib
 import html
 import json
+import random
 import re
-from collections import Counter
+import tracemalloc
+from collections import Counter, deque
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import decontam, jaccard, langid, mixing, quality, secrets, sharding, tokens, warc
+from tessella.llm import decontam, jaccard, langid, mixing, quality, secrets, sharding, tokens, warc, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -341,3 +345,40 @@ def test_removals_that_are_too_many_to_broadcast(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
     far = sorted(map(str, langid.keep(df, model).collect())), sorted(map(str, jaccard.deduplicate(df).collect()))
     assert near == far and len(near[0]) == df.count() - 4 and len(near[1]) < df.count() - 6
+
+
+@pytest.mark.parametrize(("what", "mb"), [("score", 10), ("survey", 45), ("prefixes", 35), ("find", 15)])
+def test_workers_hold_little_of_a_batch(what, mb):
+    """What a worker's functions allocate at most beside an Arrow batch of 12 MB of text."""
+    r = random.Random(3)
+    batch = pa.array([" ".join(f"w{r.randrange(9999)}" for _ in range(500)) for _ in range(4200)])
+    ids = pa.array(range(len(batch)))
+    model = langid.TextModel(["a", "b", "c"], np.ones((3, langid.BINS)))
+    items = decontam.Items([1], [words.words(["x1 x2 x3 x4 x5 x6 x7 x8 x9"]).hash], [(np.zeros(1, np.int64), np.arange(1, dtype=np.uint64)) for _ in range(2)])
+    order = SimpleNamespace(value=jaccard.Order(np.zeros(0, np.uint64)))
+    run = {
+        "score": lambda: model.score(batch),
+        "survey": lambda: deque(jaccard._survey(jaccard.N, 64)([pa.RecordBatch.from_arrays([ids, ids, batch], ["a", "b", "c"])]), 0),
+        "prefixes": lambda: deque(jaccard._prefixes(order, jaccard.N, 0.9, 64)([pa.RecordBatch.from_arrays([batch], ["a"])]), 0),
+        "find": lambda: deque(items.find(batch), 0),
+    }[what]
+    words._tables(), langid._letters()
+    tracemalloc.start()
+    try:
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < mb << 20
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1 << 18])
+def test_portions_are_the_column(monkeypatch, size):
+    monkeypatch.setattr(words, "BLOCK_CHARS", size)
+    texts = ["", None, "é" * 50, "ab", None, "", "x" * 41, "漢字", "c d e"] * 3
+    for column in (pa.array(texts), pa.array(["no", *texts, None]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        got = list(words.portions(column))
+        assert [t for _, p in got for t in p] == texts
+        assert [a for a, _ in got] == [sum(len(p) for _, p in got[:k]) for k in range(len(got))]
+        assert all(len(p) == 1 or sum(len((t or "").encode()) + 1 for t in p) <= size for _, p in got)
+    assert list(words.portions(pa.array([], pa.string()))) == [] and list(words.portions(pa.nulls(2))) == [(0, [None, None])]
