@@ -15,6 +15,9 @@ A document is the set of its word n-grams. Texts with equal sets form a class, a
 3. The whole sets of a component meet in one task (an oversized one is cut into a grid of tasks), where an exact join
    skips by set relations (see setjoin): lists in position blocks, and answers derived from those of a similar set.
 
+A cluster of edited copies that grows with the table has pairs as its square. They are made, sifted and counted in
+portions, so that a task holds some of them at a time and never a bucket's or a component's.
+
 Lists and sets move as numpy arrays in binary rows, sorted and counted in numpy; text is never shuffled.
 
 links() gives a row for each document: the least id of the group that links connect it with, and the number of its
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import col, cut, fresh, lean, partitions, ship, tidy
 from tessella.llm.graph import components, roots, rows_of
-from tessella.llm.setjoin import few_join, jaccard_join, least
+from tessella.llm.setjoin import few_join, jaccard_portions, least
 from tessella.llm.words import Lookup, blocks, mix64, portions, words
 
 N = 4
@@ -51,14 +54,16 @@ N = 4
 THRESHOLD = 0.44
 #: An n-gram counts as heavy from this count on, in runs of so many n-grams; so many of them are broadcast at most.
 HEAVY, RUN, HEAVY_LIMIT = 32, 1 << 21, 1 << 21
-#: N-grams of the sets that one task joins, about.
-TASK_GRAMS = 1 << 21
+#: N-grams of the sets that one task joins, about; where a component is cut, of each of the two sides that meet.
+TASK_GRAMS = 1 << 20
 #: Pairs of lists, and entries with the blocks they meet, that are made at once; blocks of positions of a list.
 PAIRS, BLOCKS = 1 << 19, 16
+#: Pairs that a bucket holds before it passes them on, and that are sifted at once.
+HELD = 1 << 20
 #: Bands of a set, and least hashes in each; kin that are broadcast at most, larger groups first.
 BANDS, BAND, KIN_LIMIT = 4, 4, 1 << 22
 #: Buckets of lists at least, and n-grams of all sets for each; documents whose lists are made up at once.
-BUCKETS, BUCKET_GRAMS, SLICE = 64, 1 << 24, 4096
+BUCKETS, BUCKET_GRAMS, SLICE = 64, 1 << 22, 4096
 #: Up to this size a component's pairs are taken one by one.
 FEW = 6
 BLOOM_BITS = 26
@@ -275,14 +280,15 @@ def _lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _meet(kin: Broadcast, threshold: float, buckets: int):
-    """Of a bucket's lists: pairs of classes that aren't kin and how many tokens they share there, by bucket of pairs."""
+    """Of a bucket's lists: pairs of classes that aren't kin and how many tokens they share there, by bucket of pairs; a
+    pair may come several times, with a part of its tokens each."""
     c = threshold / (1 + threshold)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy(0.5)
-        token, place, key, size = _lists(table)
+        token, place, key, size = _lists(pa.Table.from_batches(batches))
         if not len(token):
-            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
+            return
         # Classes are numbered by size, then key.
         classes, at, local = np.unique(key, return_index=True, return_inverse=True)
         by = np.argsort(size[at], kind="stable")
@@ -308,7 +314,7 @@ def _meet(kin: Broadcast, threshold: float, buckets: int):
         low = least(own, threshold)
         high = np.minimum(local, np.searchsorted(size_of, own * (1 - place / 256) / c - own + 1e-6, side="right"))
         spare = 1 - c - block[begin] / BLOCKS
-        found, counts, a = [], [], 0
+        found, counts, a, held = [], [], 0, 0
         upto = np.concatenate([[0], np.cumsum(runs_of)])
 
         def count(x: np.ndarray, start: np.ndarray, many: np.ndarray) -> None:
@@ -319,6 +325,21 @@ def _meet(kin: Broadcast, threshold: float, buckets: int):
             found.append(pair)
             counts.append(n)
 
+        def summed() -> None:
+            pair, at = np.unique(np.concatenate(found), return_inverse=True)
+            found[:], counts[:] = [pair], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+
+        def passed_on() -> pa.RecordBatch:
+            pair, shared = found.pop(), np.minimum(counts.pop(), 65535).astype(np.uint16)
+            p, q = pair // k, pair % k
+            ka, kb = np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q])
+            sa, sb = (np.minimum(size_of[np.where(classes[p] == x, p, q)], 65535).astype(np.uint16) for x in (ka, kb))
+            bucket = (mix64(ka.view(_U) ^ mix64(kb.view(_U))) % _U(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
+            blobs = [_pack(np.uint32(len(r)), ka[r], kb[r], sa[r], sb[r], shared[r]) for r in parts]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[[r[0] for r in parts]]), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+
         while a < len(token):
             b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, side="right")) - 1)
             x = np.repeat(np.arange(a, b), runs_of[a:b])
@@ -333,20 +354,18 @@ def _meet(kin: Broadcast, threshold: float, buckets: int):
             while u < len(x):
                 v = max(u + 1, int(np.searchsorted(pairs_upto, pairs_upto[u] + PAIRS, side="right")) - 1)
                 count(x[u:v], start[u:v], many[u:v])
+                held += len(found[-1])
+                if held >= HELD:
+                    summed()
+                    held = len(found[0])
+                    if held >= HELD // 2:
+                        yield passed_on()
+                        held = 0
                 u = v
             a = b
-        if not sum(map(len, found)):
-            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
-        pair, at = np.unique(np.concatenate(found), return_inverse=True)
-        shared = np.minimum(np.bincount(at, np.concatenate(counts)), 65535).astype(np.uint16)
-        p, q = pair // k, pair % k
-        ka, kb = np.minimum(classes[p], classes[q]), np.maximum(classes[p], classes[q])
-        sa, sb = (np.minimum(size_of[np.where(classes[p] == x, p, q)], 65535).astype(np.uint16) for x in (ka, kb))
-        bucket = (mix64(ka.view(_U) ^ mix64(kb.view(_U))) % _U(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)
-        blobs = [_pack(np.uint32(len(r)), ka[r], kb[r], sa[r], sb[r], shared[r]) for r in parts]
-        return pa.table({"bucket": pa.array(bucket[[r[0] for r in parts]]), "pairs": pa.array(blobs, pa.binary())})
+        if held:
+            summed()
+            yield passed_on()
 
     return run
 
@@ -354,14 +373,7 @@ def _meet(kin: Broadcast, threshold: float, buckets: int):
 def _sift(threshold: float):
     """Of a bucket of pairs: edges of a forest that connects those which could reach the threshold."""
 
-    def run(table: pa.Table) -> pa.Table:
-        tidy(0.5)
-        parts = []
-        for raw in table.column("pairs"):
-            raw = raw.as_py()
-            m = int(np.frombuffer(raw, np.uint32, 1)[0])
-            parts.append((np.frombuffer(raw, np.int64, m, 4), np.frombuffer(raw, np.int64, m, 4 + 8 * m), *(np.frombuffer(raw, np.uint16, m, 4 + (16 + 2 * i) * m) for i in range(3))))
-        a, b, sa, sb, count = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+    def passed(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by = np.lexsort((b, a))
         a, b, sa, sb, count = a[by], b[by], sa[by], sb[by], count[by]
         begin = np.flatnonzero((np.diff(a, prepend=a[0] ^ 1) != 0) | (np.diff(b, prepend=b[0] ^ 1) != 0))
@@ -371,9 +383,28 @@ def _sift(threshold: float):
         rest = np.maximum(least(sa, threshold), least(sb, threshold)) - 1
         need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9)
         ok = (count + rest >= need) | (np.maximum(sa, sb) == 65535)
-        node, root = roots(a[ok], b[ok]) if ok.any() else (a[:0], a[:0])
-        other = node != root
-        return pa.table({"a": pa.array(node[other]), "b": pa.array(root[other])})
+        return a[ok], b[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(0.5)
+        raws, many, node, root = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column(batch.schema.get_field_index("pairs")):
+                raw = raw.as_py()
+                m = int(np.frombuffer(raw, np.uint32, 1)[0])
+                raws.append((np.frombuffer(raw, np.int64, m, 4), np.frombuffer(raw, np.int64, m, 4 + 8 * m), *(np.frombuffer(raw, np.uint16, m, 4 + (16 + 2 * i) * m) for i in range(3))))
+                many += m
+        # All of a pair is in one part; as many are sifted at once as is held.
+        parts = many // HELD + 1
+        of = [(mix64(mix64(x[0].view(_U)) ^ x[1].view(_U)) >> _U(32)) % _U(parts) for x in raws] if parts > 1 else None
+        for part in range(parts):
+            mine = raws if of is None else [tuple(c[p == _U(part)] for c in x) for x, p in zip(raws, of, strict=True)]
+            columns = [np.concatenate(x).astype(np.int64) for x in zip(*mine, strict=True)]
+            if len(columns[0]):
+                a, b = passed(*columns)
+                node, root = roots(np.concatenate([node, a]), np.concatenate([root, b])) if len(a) or len(node) else (node, root)
+                node, root = node[node != root], root[node != root]
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
     return run
 
@@ -419,25 +450,28 @@ def _whole(order: Broadcast, wanted: Broadcast, n: int):
     return lean(run)
 
 
-def _met(key: tuple, table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a task's classes: their keys, the rows that tell of them, and the pairs i, j and their similarity."""
+def _met(key: tuple, table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of a task's classes: their keys, the rows that tell of them, and the pairs i, j and their similarity, in portions."""
     tidy(0.5)
     keys, first = np.unique(table.column("class").to_numpy(), return_index=True)
     raw = table.column("grams")
     grams = [np.frombuffer(raw[int(k)].as_py(), _U) for k in first]
-    i, j, s = (few_join if len(keys) <= FEW else jaccard_join)(grams, threshold)
-    if key[1] != key[2]:
-        side = table.column("side").to_numpy()[first]
-        i, j, s = (x[side[i] != side[j]] for x in (i, j, s))
-    return keys, first, i, j, s
+    side = table.column("side").to_numpy()[first] if key[1] != key[2] else None
+
+    def portions() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, s in [few_join(grams, threshold)] if len(keys) <= FEW else jaccard_portions(grams, threshold):
+            yield (i, j, s) if side is None else tuple(x[side[i] != side[j]] for x in (i, j, s))
+
+    return keys, first, portions()
 
 
 def _join(threshold: float):
     """Of a task's classes: its pairs."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _, i, j, s = _met(tuple(k.as_py() for k in key), table, threshold)
-        return pa.table({"a": pa.array(keys[i]), "b": pa.array(keys[j]), "jaccard": pa.array(s)})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, _, pairs = _met(tuple(k.as_py() for k in key), pa.Table.from_batches(batches), threshold)
+        for i, j, s in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(keys[j]), pa.array(s)], ["a", "b", "jaccard"])
 
     return run
 
@@ -446,10 +480,13 @@ def _count(threshold: float):
     """Of a task's classes that are in a pair: the least class they are connected with there, and the documents that their pairs lead to."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, first, i, j, _ = _met(tuple(k.as_py() for k in key), table, threshold)
+        keys, first, pairs = _met(tuple(k.as_py() for k in key), table, threshold)
         many = table.column("many").to_numpy()[first]
-        node, root = roots(i, j)
-        links = np.bincount(i, many[j], len(keys)) + np.bincount(j, many[i], len(keys))
+        node, root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        links = np.zeros(len(keys))
+        for i, j, _ in pairs:
+            links += np.bincount(i, many[j], len(keys)) + np.bincount(j, many[i], len(keys))
+            node, root = roots(np.concatenate([node, i]), np.concatenate([root, j]))
         return pa.table({"class": pa.array(keys[node]), "root": pa.array(keys[root]), "links": pa.array(links[node].astype(np.int64)), "cut": pa.array(table.column("sides").to_numpy()[first[node]] > 1)})
 
     return run

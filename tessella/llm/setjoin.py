@@ -11,12 +11,14 @@ leader's, less those of the tokens it lacks, plus those of the tokens it adds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: A set follows a leader from which it differs in this share of the leader's tokens at most, and in less at low thresholds.
 REUSE = 0.2
-#: Positions of a block.
-SPAN = 16
+#: Positions of a block; pairs that are held before they are given.
+SPAN, PORTION = 16, 1 << 20
 
 
 def least(size: np.ndarray | int, threshold: float):
@@ -40,10 +42,16 @@ def _reach(share: np.ndarray | float, threshold: float):
 
 def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of places in sets and their Jaccard similarity, if it is the threshold at least. Sets are distinct tokens."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(none, *jaccard_portions(sets, threshold), strict=True))
+
+
+def jaccard_portions(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same in portions: pairs may be as many as the square of the sets."""
     k = len(sets)
     size = np.fromiter((len(s) for s in sets), np.int64, k)
     if k < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return
     order = np.argsort(size, kind="stable")
     rank = size[order]
     _, token, count = np.unique(np.concatenate([sets[s] for s in order]), return_inverse=True, return_counts=True)
@@ -63,7 +71,7 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
     first = np.searchsorted(owner, np.arange(k + 1))
     n_tokens = len(count) - single
     if not n_tokens:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return
 
     # Lists by token, position block, set: sets are numbered by size.
     block = position // SPAN
@@ -84,7 +92,7 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
     followers: dict[int, int] = {}
     flag = np.zeros(n_tokens, np.bool_)
     spot = np.full(k, -1)
-    out_i, out_j, out_s = [], [], []
+    out_i, out_j, out_s, held = [], [], [], 0
 
     def spread(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
         return np.repeat(starts - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
@@ -136,8 +144,11 @@ def jaccard_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray,
         out_i.append(f[good])
         out_j.append(np.full(int(good.sum()), x))
         out_s.append(share[good])
-    i, j, s = order[np.concatenate(out_i)], order[np.concatenate(out_j)], np.concatenate(out_s)
-    return np.minimum(i, j), np.maximum(i, j), s
+        held += len(out_i[-1])
+        if held >= PORTION or x == k - 1:
+            i, j, s = order[np.concatenate(out_i)], order[np.concatenate(out_j)], np.concatenate(out_s)
+            yield np.minimum(i, j), np.maximum(i, j), s
+            out_i, out_j, out_s, held = [], [], [], 0
 
 
 def few_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

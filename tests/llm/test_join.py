@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,36 @@ def test_set_join_is_exact(threshold):
         assert {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), s.tolist(), strict=True)} == pytest.approx(want)
 
 
+def test_pairs_of_a_large_cluster_are_not_held():
+    """1,800 edited copies have 1.6 million pairs; a task counts them in portions."""
+    base = np.arange(40, dtype=np.uint64)
+    grams = [np.sort(np.append(np.delete(base, i % 40), np.uint64(1000 + i))) for i in range(1800)]
+    table = pa.table({"class": pa.array(range(1800)), "grams": pa.array([g.tobytes() for g in grams], pa.binary()), "many": pa.array([1] * 1800), "side": pa.array([0] * 1800), "sides": pa.array([1] * 1800)})
+    tracemalloc.start()
+    try:
+        setjoin.PORTION, old = 1 << 16, getattr(setjoin, "PORTION", None)
+        got = jaccard._count(0.44)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        setjoin.PORTION = old
+    assert got.column("links").to_pylist() == [1799] * 1800 and set(got.column("root").to_pylist()) == {0}
+    assert peak < 40e6
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.44])
+def test_pairs_in_portions(spark, monkeypatch, threshold):
+    """Buckets pass pairs on, and sift them, in small portions: the same rows."""
+    rows = corpus(6, 30)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for where, name, value in ((jaccard, "HELD", 8), (setjoin, "PORTION", 4), (jaccard, "PAIRS", 16), (jaccard, "KIN_LIMIT", 0)):
+        monkeypatch.setattr(where, name, value)
+    got = jaccard.links(df, threshold=threshold).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == linked(rows, threshold)
+    found = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.expand(jaccard.similar(df, threshold=threshold)).collect()}
+    assert found == pytest.approx(brute(rows, threshold))
+
+
 def test_jaccard_join_is_exact(spark):
     rows = corpus()
     rows += [(900, "..."), (901, ""), (902, None), (None, rows[0][1]), (rows[3][0], rows[3][1])]
