@@ -23,6 +23,22 @@ def test_cooccurrence_of_frequent_terms(spark):
     assert assembly.cooccurrence(tokens, 2, 40).count() == 0
 
 
+def test_related_is_what_occurrences_add_up_to(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(f"d{d}", f"d{d}:{i}", i, f"t{'é' * (x % 3)}{x}") for d in range(12) for i in (2, 10, 9) for x in np.unique(r.zipf(1.4, 25) % 60).tolist()]
+    tokens = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_index int, term string")
+    for name, value in (("RUN_PAIRS", 300), ("BUCKET_PAIRS", 500), ("OUT_PAIRS", 7)):
+        monkeypatch.setattr(assembly, name, value)
+    for least, most in ((2, None), (3, 20)):
+        want = assembly.relationships(assembly.cooccurrence(tokens, least, most))
+        got = assembly.related(tokens, least, most)
+        assert got.dtypes == [(c, t) for c, t in want.select(got.columns).dtypes]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() > 100
+    assert assembly.related(tokens, 999).count() == 0
+    # No row for each occurrence goes through a shuffle: what does are a bucket's blobs.
+    assert "pairs" in assembly.related(tokens, 2)._jdf.queryExecution().toString() and "posexplode" not in assembly.related(tokens, 2)._jdf.queryExecution().toString()
+
+
 def test_exact_and_normalized_groups(spark):
     assert [r.ids for r in resolve.groups(ents(spark, ["OpenAI", "OpenAI", "openai"])).collect()] == [["e0", "e1"]]
     assert [r.ids for r in resolve.groups(ents(spark, ["Microsoft Corp.", "Microsoft Corporation", None]), True).collect()] == [["e0", "e1"]]
