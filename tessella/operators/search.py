@@ -2,7 +2,8 @@
 
 Queries are a table, so that many are answered in one plan; the queries' side is small by nature and is the one that
 joins broadcast where it is small enough. Top-k lists are row_number() <= k, which Spark cuts before the shuffle.
-Null and zero vectors and empty queries have no hits; ties go to the lesser id.
+Null and zero vectors and empty queries have no hits; ties go to the lesser id. Scores of keyword and hybrid searches tie
+where they are equal to PLACES.
 """
 
 from __future__ import annotations
@@ -35,9 +36,14 @@ def unit_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn("_n", norm).filter("_n > 0").withColumn(vector, F.transform(v, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def top(df: DataFrame, k: int, by: str = "query_id", score: str = "score", id: str = "id") -> DataFrame:
-    """The k best of each query, with rank."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.asc(id))
+#: Decimal places that a score which is summed up counts to: sums differ in their last bits by the order of their terms.
+PLACES = 9
+
+
+def top(df: DataFrame, k: int, by: str = "query_id", score: str = "score", id: str = "id", places: int | None = None) -> DataFrame:
+    """The k best of each query, with rank. Scores that are equal to so many places tie."""
+    s = F.col(score) if places is None else F.round(score, places)
+    w = Window.partitionBy(by).orderBy(F.desc(s), F.asc(id))
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -141,7 +147,7 @@ def _scored(hits: DataFrame, terms: DataFrame, docs: DataFrame, k: int) -> DataF
     x = hits.join(df_, "term").join(terms, "term").crossJoin(docs)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return top(x.groupBy("query_id", "id").agg(F.sum(idf * tf).alias("score")), k)
+    return top(x.groupBy("query_id", "id").agg(F.sum(idf * tf).alias("score")), k, places=PLACES)
 
 
 def hybrid(vector: DataFrame, keyword: DataFrame, k: int = 10, ranker: str = "naive", alpha: float | None = None) -> DataFrame:
@@ -161,4 +167,4 @@ def hybrid(vector: DataFrame, keyword: DataFrame, k: int = 10, ranker: str = "na
 
     x = scaled(vector, "v").join(scaled(keyword, "k"), ["query_id", "id"], "full_outer").fillna(0.0, ["v", "k"])
     score = F.greatest("v", "k") if ranker == "naive" else F.lit(alpha) * F.col("v") + (1 - F.lit(alpha)) * F.col("k")
-    return top(x.select("query_id", "id", score.alias("score")), k)
+    return top(x.select("query_id", "id", score.alias("score")), k, places=PLACES)

@@ -522,3 +522,14 @@ def test_all_chunks_failing_is_an_error(spark):
     with pytest.raises(RuntimeError, match="down"):
         extraction.check_errors(extraction.extract(c, extraction.build_schema(["A"]), Scripted(fail)))
     assert FakeChat().invoke("x") == FakeChat().invoke("x")
+
+
+def test_scores_that_differ_in_their_last_bits_tie(spark):
+    v = spark.createDataFrame([("q", "z", 1.0), ("q", "b", 0.1 + 0.2), ("q", "a", 0.3)], "query_id string, id string, score double")
+    got = search.hybrid(v, v.limit(0), 2).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.rank)] == ["z", "a"]
+    # The same sums in another order: `_scored` adds up what a shuffle brings.
+    hits = spark.createDataFrame([(t, i, 4, 1) for i in (1, 2) for t in ("a", "b", "c")], "term string, id int, length int, tf int").withColumn("tf", F.when((F.col("id") == 1) & (F.col("term") == "a"), F.lit(1.0 - 1e-14)).otherwise(F.lit(1.0)))
+    terms = spark.createDataFrame([("q", t) for t in ("a", "b", "c")], "query_id string, term string")
+    docs = spark.createDataFrame([(9, 4.0)], "n bigint, mean double")
+    assert search._scored(hits, terms, docs, 1).first().id == 1
