@@ -35,6 +35,7 @@ def test_related_is_what_occurrences_add_up_to(spark, monkeypatch):
         assert got.dtypes == [(c, t) for c, t in want.select(got.columns).dtypes]
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() > 100
     assert assembly.related(tokens, 999).count() == 0
+    assert assembly.related(tokens.limit(1).union(tokens.limit(1)), 2).count() == 0
     # No row for each occurrence goes through a shuffle: what does are a bucket's blobs.
     assert "pairs" in assembly.related(tokens, 2)._jdf.queryExecution().toString() and "posexplode" not in assembly.related(tokens, 2)._jdf.queryExecution().toString()
 
@@ -533,3 +534,19 @@ def test_scores_that_differ_in_their_last_bits_tie(spark):
     terms = spark.createDataFrame([("q", t) for t in ("a", "b", "c")], "query_id string, term string")
     docs = spark.createDataFrame([(9, 4.0)], "n bigint, mean double")
     assert search._scored(hits, terms, docs, 1).first().id == 1
+
+
+def test_communities_are_the_same_with_shared_nodes(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(g, f"n{x:02}", f"n{y:02}", float(w)) for g, n in (("g", 60), ("h", 9), ("i", 2)) for x, y, w in zip(r.integers(0, n, 4 * n).tolist(), r.integers(0, n, 4 * n).tolist(), r.integers(1, 5, 4 * n).tolist(), strict=True) if x < y]
+    e = spark.createDataFrame(rows + [("h", f"z{i}", f"z{i + 1}", 2.0) for i in range(40)], "graph_name string, a string, b string, w double").groupBy("graph_name", "a", "b").agg(F.sum("w").alias("w"))
+    monkeypatch.setattr(communities, "PART_ENDS", 50)
+    for levels, gamma in ((3, 1.0), (2, 3.0)):
+        near = sorted(communities.detect(e, levels, gamma).collect())
+        # Not by the plans whose rounds take about a second each and more.
+        monkeypatch.setattr(communities, "_distributed", None)
+        assert sorted(communities.detect(e, levels, gamma, local_edges=0).collect()) == near and len({x.level for x in near}) > 1
+        monkeypatch.undo()
+        monkeypatch.setattr(communities, "PART_ENDS", 50)
+        one = e.filter("graph_name = 'g'")
+        assert sorted(communities.detect(one, levels, gamma, local_edges=0, shared_nodes=0).collect()) == sorted(communities.detect(one, levels, gamma).collect())
