@@ -190,7 +190,7 @@ def valid_nodes(extracted: DataFrame, labels: DataFrame) -> DataFrame:
     """The nodes with a label of the vocabulary (label, identity, allowed), a row each: chunk_id, pos, node_id, label,
     name, properties; properties that aren't allowed go, the name has a chain of fallbacks."""
     x = extracted.select("chunk_id", F.posexplode("nodes").alias("pos", "n")).select("chunk_id", "pos", F.col("n.id").alias("node_id"), F.col("n.label").alias("label"), F.coalesce("n.properties", F.create_map().cast("map<string,string>")).alias("p"))
-    x = x.join(labels, "label")
+    x = x.join(F.broadcast(labels), "label")  # a vocabulary: by a shuffle, all nodes of a label would meet in one task
     some = lambda c: F.when(c != "", c)
     name = F.coalesce(some(F.try_element_at("p", F.col("identity"))), some(F.try_element_at("p", F.lit("name"))), some(F.try_element_at("p", F.lit("title"))), F.col("node_id"))
     return x.select("chunk_id", "pos", "node_id", "label", name.alias("name"), F.coalesce(F.try_element_at("p", F.lit("description")), F.lit("")).alias("description"), F.map_filter("p", lambda k, v: F.array_contains(F.col("allowed"), k)).alias("properties"))
@@ -207,6 +207,6 @@ def valid_relationships(extracted: DataFrame, nodes: DataFrame, schema: Schema)
         x = x.join(n.select("chunk_id", F.col("node_id").alias(f"{end}_id"), F.col("label").alias(f"{end}_label")), ["chunk_id", f"{end}_id"])
     if schema.patterns:
         p = spark.createDataFrame(list(schema.patterns), "source_label string, type string, target_label string")
-        x = x.join(p, ["source_label", "type", "target_label"], "left_semi")
+        x = x.join(F.broadcast(p), ["source_label", "type", "target_label"], "left_semi")
     weight = F.coalesce(F.expr("try_cast(try_element_at(properties, 'weight') as double)"), F.lit(1.0))
     return x.select("chunk_id", "pos", "source_id", "target_id", "type", F.coalesce(F.try_element_at("properties", F.lit("description")), F.lit("")).alias("description"), weight.alias("weight"), "properties")

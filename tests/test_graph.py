@@ -525,6 +525,18 @@ def test_all_chunks_failing_is_an_error(spark):
     assert FakeChat().invoke("x") == FakeChat().invoke("x")
 
 
+def test_vocabularies_are_not_joined_by_shuffles(spark):
+    """By a shuffle, all nodes of one of a few labels meet in one task."""
+    schema = extraction.build_schema(["A", "B"], ["T"], [("A", "T", "B")])
+    x = spark.createDataFrame([("c1", '{"nodes":[{"id":"1","label":"A"},{"id":"2","label":"B"},{"id":"3","label":"C"}],"relationships":[{"source_id":"1","target_id":"2","type":"T"},{"source_id":"2","target_id":"1","type":"T"}]}')], "chunk_id string, content string")
+    x = x.withColumn("p", extraction.parse_items(F.col("content"))).select("chunk_id", "p.nodes", "p.relationships")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = extraction.valid_nodes(x, schema.labels(spark))
+    rels = extraction.valid_relationships(x, nodes, schema)
+    assert sorted(r.node_id for r in nodes.collect()) == ["1", "2"] and [(r.source_id, r.target_id) for r in rels.collect()] == [("1", "2")]
+    assert "hashpartitioning(label" not in plan(nodes) and "hashpartitioning(source_label" not in plan(rels) and "hashpartitioning(label" not in plan(rels)
+
+
 def test_scores_that_differ_in_their_last_bits_tie(spark):
     v = spark.createDataFrame([("q", "z", 1.0), ("q", "b", 0.1 + 0.2), ("q", "a", 0.3)], "query_id string, id string, score double")
     got = search.hybrid(v, v.limit(0), 2).collect()
