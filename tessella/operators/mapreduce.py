@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tessella.functions.text import token_count
-from tessella.operators.context import REFERENCE_TYPES, first_places
+from tessella.operators.context import REFERENCE_TYPES
+from tessella.sources.lineage import numbered
 
 MAP_PROMPT = "Answer the question from the reports, as JSON with answer, helpfulness (0 to 100), report_ids and references.\n\nQuestion: {query}\n\nReports:\n{text}"
 REDUCE_PROMPT = "Put the partial answers together.\n\nQuestion: {query}\n\nPartial answers:\n{text}"
@@ -118,8 +119,7 @@ def map_phase(made: DataFrame, query: str, model, concurrency: int = 5) -> DataF
 
 def scored(partials: DataFrame, most: int | None = None) -> DataFrame:
     """Partial answers without errors and with some help, the most helpful first, with `place`."""
-    w = Window.orderBy(F.desc("helpfulness"), "batch_id")
-    x = partials.filter("error is null and helpfulness > 0").withColumn("place", F.row_number().over(w))
+    x = numbered(partials.filter("error is null and helpfulness > 0"), [F.desc("helpfulness"), "batch_id"], "place").withColumn("place", F.col("place").cast("int"))
     return x if most is None else x.filter(F.col("place") <= most)
 
 
@@ -128,14 +128,16 @@ def used_reports(partials: DataFrame) -> DataFrame:
     named = F.array_intersect("report_ids", "batch_report_ids")
     ids = F.when(F.size(named) > 0, named).otherwise(F.array_distinct("batch_report_ids"))
     x = partials.select("place", F.posexplode(ids).alias("pos", "report_id"))
-    return first_places(x, ["report_id"], ["place", "pos"]).select("report_id", "place", "pos")
+    # An answer names a report once, so its place tells which is the first; numbers add up before the shuffle.
+    return x.groupBy("report_id").agg(F.min("place").alias("place"), F.min_by("pos", "place").alias("pos"))
 
 
 def reduce_texts(partials: DataFrame, available: int) -> DataFrame:
     """place, text, tokens of the partial answers up to the first that doesn't fit any more; the first always counts."""
     refs = F.array_join(F.transform("references", lambda r: F.concat(r["target_type"], F.lit(":"), r["target_id"])), ", ")
     text = F.concat(F.lit("[Score "), F.col("helpfulness").cast("string"), F.lit("] "), "answer", F.when(refs != "", F.concat(F.lit("\nReferences: "), refs)).otherwise(""))
-    x = partials.select("place", text.alias("text")).withColumn("tokens", token_count(F.col("text")))
+    # A text has a token at least, so none beyond these places can fit; they are few enough for one task.
+    x = partials.filter(F.col("place") <= max(1, available)).select("place", text.alias("text")).withColumn("tokens", token_count(F.col("text")))
     total = F.sum("tokens").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("total", total).filter((F.col("total") <= available) | (F.col("place") == 1)).drop("total")
 
@@ -143,5 +145,5 @@ def reduce_texts(partials: DataFrame, available: int) -> DataFrame:
 def all_references(explicit: DataFrame, reported: DataFrame) -> DataFrame:
     """References (target_type, target_id, place) of answers, then of reports, each once in order, with `pos`."""
     x = explicit.withColumn("src", F.lit(0)).unionByName(reported.withColumn("src", F.lit(1)))
-    x = first_places(x.filter(F.col("target_type").isin(*REFERENCE_TYPES)), ["target_type", "target_id"], ["src", "place"])
-    return x.withColumn("pos", F.row_number().over(Window.orderBy("src", "place", "target_type", "target_id"))).select("pos", "target_type", "target_id")
+    x = x.filter(F.col("target_type").isin(*REFERENCE_TYPES)).groupBy("target_type", "target_id").agg(F.min("src").alias("src"), F.min_by("place", (F.col("src") * F.lit(1 << 40) + F.col("place"))).alias("place"))
+    return numbered(x, ["src", "place", "target_type", "target_id"], "pos").select(F.col("pos").cast("int").alias("pos"), "target_type", "target_id")

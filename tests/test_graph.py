@@ -525,6 +525,29 @@ def test_all_chunks_failing_is_an_error(spark):
     assert FakeChat().invoke("x") == FakeChat().invoke("x")
 
 
+def test_answers_are_numbered_in_many_tasks(spark):
+    """No window without keys, which would sort all rows in one task; the same places."""
+    rows = [(f"b{i * 7919 % 1000:04}", f"a{i}", (i * 31) % 101, [f"r{i % 7}", f"r{i % 3}"], [("entity", f"e{i % 11}")], [f"r{i % 3}", "r9"], None) for i in range(1000)]
+    x = spark.createDataFrame(rows, "batch_id string, answer string, helpfulness int, report_ids array<string>, references array<struct<target_type:string,target_id:string>>, batch_report_ids array<string>, error string").repartition(5)
+    got = mapreduce.scored(x)
+    order = sorted((r for r in rows if r[2] > 0), key=lambda r: (-r[2], r[0]))
+    assert [(r.place, r.batch_id) for r in sorted(got.collect(), key=lambda r: r.place)] == [(i + 1, r[0]) for i, r in enumerate(order)]
+    assert dict(got.dtypes)["place"] == "int"
+    first = {}
+    for i, r in enumerate(order):
+        for name in [n for n in dict.fromkeys(r[3]) if n in r[5]] or r[5]:
+            first.setdefault(name, i + 1)
+    used = mapreduce.used_reports(got)
+    assert {r.report_id: r.place for r in used.collect()} == first
+    refs = mapreduce.all_references(got.select("place", F.explode("references").alias("r")).select("place", "r.*"), spark.createDataFrame([("entity", "e99", 1), ("claim", "e0", 2), ("thing", "x", 1)], "target_type string, target_id string, place int"))
+    assert [r.target_id for r in sorted(refs.collect(), key=lambda r: r.pos)][-2:] == ["e99", "e0"] and refs.count() == 13
+    few = sorted(mapreduce.reduce_texts(got, 30).collect(), key=lambda r: r.place)
+    assert [r.place for r in few] == list(range(1, len(few) + 1)) and sum(r.tokens for r in few) <= 30 < sum(r.tokens for r in few) + few[-1].tokens + 1
+    for df in (got, used, refs):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+
+
 def test_vocabularies_are_not_joined_by_shuffles(spark):
     """By a shuffle, all nodes of one of a few labels meet in one task."""
     schema = extraction.build_schema(["A", "B"], ["T"], [("A", "T", "B")])
