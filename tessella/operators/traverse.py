@@ -11,12 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INTERNAL = ("embedding", "graph_name", "id", "text")
+#: Bits of a Bloom filter for each id, and in all at most (each task has a copy; with more ids it lets more others pass).
+ID_BITS, BLOOM_BITS = 8, 1 << 25
 
 
 def label_of(type: Column, name: Column, description: Column) -> Column:
     return F.concat(type, F.lit(": "), F.coalesce(name, description, F.lit("")))
 
 
+def might_be(column: str, ids: DataFrame) -> Column:
+    """Is a column's value in the first column of ids, or one of a few others? A Bloom filter of theirs, made once in a
+    plan as a subquery. The optimizer takes it to the scans, so what a join would drop isn't shuffled first; the join stays."""
+    jvm = ids.sparkSession._jvm
+    utils, expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
+    of = lambda c: utils.expression(c._jc)
+    n = max(1000, ids.count())
+    made = expressions.aggregate.BloomFilterAggregate(of(F.xxhash64(ids.columns[0])), of(F.lit(n).cast("bigint")), of(F.lit(min(ID_BITS * n, BLOOM_BITS)).cast("bigint")))
+    found = ids.coalesce(8).agg(Column(utils.column(made.toAggregateExpression())).alias("f"))
+    return Column(utils.column(expressions.BloomFilterMightContain(of(found.scalar()), of(F.xxhash64(column)))))
+
+
 def both_ways(relationships: DataFrame) -> DataFrame:
     """Each edge from both of its ends (src, dst); a loop once."""
     a = relationships.withColumnsRenamed({"source_id": "src", "target_id": "dst"})
@@ -24,11 +38,14 @@ def both_ways(relationships: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def degrees(relationships: DataFrame, claims: DataFrame | None = None) -> DataFrame:
-    """id, degree: edges at the entity, a loop once; claims about it count too."""
+def degrees(relationships: DataFrame, claims: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """id, degree: edges at the entity, a loop once; claims about it count too. With ids (the first column of among), of
+    these, and maybe a few others."""
     ends = both_ways(relationships).select(F.col("src").alias("id"))
     if claims is not None:
         ends = ends.unionByName(claims.select(F.col("entity_id").alias("id")))
+    if among is not None:
+        ends = ends.filter(might_be("id", among))
     return ends.groupBy("id").agg(F.count("*").alias("degree"))
 
 
@@ -73,7 +90,8 @@ def within(relationships: DataFrame, memberships: DataFrame) -> DataFrame:
     m = memberships.select("entity_id", "community_id", "level")
     a = m.withColumnRenamed("entity_id", "source_id")
     b = m.withColumnRenamed("entity_id", "target_id")
-    return relationships.filter("source_id != target_id").join(a, "source_id").join(b, ["target_id", "community_id", "level"])
+    near = relationships.filter("source_id != target_id").filter(might_be("source_id", m) & might_be("target_id", m))
+    return near.join(a, "source_id").join(b, ["target_id", "community_id", "level"])
 
 
 def bridging(keys: DataFrame, memberships: DataFrame, entities: DataFrame, relationships: DataFrame, k: int = 50) -> DataFrame:
@@ -89,8 +107,9 @@ def bridging(keys: DataFrame, memberships: DataFrame, entities: DataFrame, relat
 def ranked_edges(memberships: DataFrame, entities: DataFrame, relationships: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """The edges inside each community in rank order: community_id, level, rank, combined_degree, observation_count, and
     of both ends id, name, description, type, degree. Direction is kept."""
-    d = degrees(relationships, claims)
-    e = entities.select("id", F.coalesce("name", "id").alias("name"), F.coalesce("description", F.lit("")).alias("description"), "type").join(d, "id", "left").fillna({"degree": 0})
+    members = memberships.select("entity_id")
+    d = degrees(relationships, claims, members)
+    e = entities.filter(might_be("id", members)).select("id", F.coalesce("name", "id").alias("name"), F.coalesce("description", F.lit("")).alias("description"), "type").join(d, "id", "left").fillna({"degree": 0})
     side = lambda p, key: e.select(*[F.col(c).alias(key if c == "id" else f"{p}_{c}") for c in e.columns])
     has = "observation_count" if "observation_count" in relationships.columns else "weight" if "weight" in relationships.columns else None
     x = within(relationships, memberships).join(side("source", "source_id"), "source_id").join(side("target", "target_id"), "target_id")

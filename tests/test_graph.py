@@ -548,6 +548,25 @@ def test_answers_are_numbered_in_many_tasks(spark):
         assert "Window" not in plan
 
 
+def test_edges_beside_communities_are_not_shuffled(spark):
+    """What can't be inside of a community is dropped where edges are made, not by the join."""
+    edges = spark.range(3000).select(F.lit("g").alias("graph_name"), F.concat(F.lit("c"), F.col("id") % 40).alias("source_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("c"), F.col("id") % 7)).otherwise(F.concat(F.lit("p"), "id")).alias("target_id"), F.lit("T").alias("type"))
+    edges = edges.groupBy("graph_name", "source_id", "target_id", "type").agg(F.count("*").cast("double").alias("weight"))
+    members = spark.range(40).select(F.lit("g").alias("graph_name"), F.concat(F.lit("c"), "id").alias("entity_id"), F.lit("k").alias("community_id"), F.lit(0).alias("level"))
+    got = traverse.within(edges, members)
+    want = {(r.source_id, r.target_id) for r in edges.collect() if r.target_id.startswith("c") and r.source_id != r.target_id}
+    assert {(r.source_id, r.target_id) for r in got.collect()} == want and want
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = lambda s: next(i for i, x in enumerate(lines) if s in x)
+    assert first("Aggregate [") < first("might_contain(")
+    kept = edges.filter(traverse.might_be("target_id", members.select("entity_id"))).count()
+    assert len(want) <= kept < 300
+    d = {r.id: r.degree for r in traverse.degrees(edges).collect()}
+    some = {r.id: r.degree for r in traverse.degrees(edges, among=members.select("entity_id")).collect()}
+    assert {k: v for k, v in d.items() if k.startswith("c")}.items() <= some.items() <= d.items() and len(some) < len(d) / 5
+    assert traverse.within(edges, members.limit(0)).count() == 0
+
+
 def test_vocabularies_are_not_joined_by_shuffles(spark):
     """By a shuffle, all nodes of one of a few labels meet in one task."""
     schema = extraction.build_schema(["A", "B"], ["T"], [("A", "T", "B")])
