@@ -567,6 +567,19 @@ def test_edges_beside_communities_are_not_shuffled(spark):
     assert traverse.within(edges, members.limit(0)).count() == 0
 
 
+def test_own_names_join_lines_that_are_sets(spark):
+    """An entity's lines meet its name once they are a set; ids of several graphs and repeated matches count once."""
+    e = spark.createDataFrame([("g", "a", "T", "A", ""), ("h", "a", "T", "B", ""), ("g", "b", "T", "C", "")], "graph_name string, id string, type string, name string, description string")
+    r = spark.createDataFrame([("g", "a", "b", "X", 1.0), ("g", "a", "b", "X", 2.0)], "graph_name string, source_id string, target_id string, type string, weight double")
+    none = spark.createDataFrame([], "chunk_id string, entity_id string"), spark.createDataFrame([], "id string, text string")
+    m = spark.createDataFrame([("a", 1.0), ("a", 1.0)], "id string, score double")
+    got = traverse.local_context(m, e, r, *none)
+    assert {tuple(x.relationships) for x in got.collect()} == {("T: A -[X]-> T: C", "T: B -[X]-> T: C")} and got.count() == 4
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # Above the sets: the name is joined to them.
+    assert next(i for i, x in enumerate(lines) if "_own" in x and "Join" not in x and "transform" in x) < next(i for i, x in enumerate(lines) if "collect_set(concat( -[" in x)
+
+
 def test_vocabularies_are_not_joined_by_shuffles(spark):
     """By a shuffle, all nodes of one of a few labels meet in one task."""
     schema = extraction.build_schema(["A", "B"], ["T"], [("A", "T", "B")])
